@@ -84,7 +84,7 @@ def key_fact_lines(page_body: Column, bullets: tuple[str, ...] = ("- ",)) -> Col
     ends = F.transform(after, lambda s: s.startswith("## ") & ~F.lower(s).startswith(KEY_FACTS))
     stop = F.array_position(ends, True)
     block = F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after)
-    kept = F.filter(block, lambda s: F.exists(F.array(*[F.lit(b) for b in bullets]), s.startswith))
+    kept = F.filter(block, lambda s: F.left(s, F.lit(2)).isin(*bullets))
     return F.when(at > 0, F.transform(kept, lambda s: strip(F.substring(s, F.lit(3), F.length(s))))) \
         .otherwise(_strings())
 

@@ -19,6 +19,7 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
 from pagequarry.operators.lexical import best
+from pagequarry.session import spread
 
 Model = Callable[[Column], Column]
 SCORE_DIGITS = 6
@@ -67,7 +68,7 @@ def batched_model(embed: Callable[[list[str]], list[list[float]]],
 def embed(rows: DataFrame, model: Model = letter_model, text: str = "text") -> DataFrame:
     """``rows`` with a unit-length ``vec``; the text itself is untouched."""
     raw = model(F.left(F.col(text), F.lit(fv.EMBED_CHARS)))
-    return rows.withColumn("_raw", raw).withColumn("vec", sc.unit(F.col("_raw"))).drop("_raw")
+    return spread(rows).withColumn("_raw", raw).withColumn("vec", sc.unit(F.col("_raw"))).drop("_raw")
 
 
 def embedded_text(text: Column, page_type: Column, title: Column, description: Column, tags: Column) -> Column:
@@ -85,7 +86,8 @@ _HIT = T.StructType([
 
 def _batch_top(rows: pd.DataFrame, query: pd.DataFrame, matrix: np.ndarray, k: int) -> pd.DataFrame:
     """Rows of one batch that may be among the k best of a query; ties at the edge stay in."""
-    sims = np.round(np.stack(rows["vec"].to_numpy()).astype(np.float64) @ matrix.T, SCORE_DIGITS)
+    raw = np.stack(rows["vec"].to_numpy()).astype(np.float64) @ matrix.T
+    sims = np.round(raw, SCORE_DIGITS)
     allowed = rows["db"].to_numpy()[:, None] == query["db"].to_numpy()[None, :]
     if "scope" in query:
         asked = query["scope"].to_numpy()
@@ -97,7 +99,7 @@ def _batch_top(rows: pd.DataFrame, query: pd.DataFrame, matrix: np.ndarray, k: i
     r, q = np.nonzero(allowed)
     out = rows[["db", "scope", "source", "chunk_id"]].iloc[r].reset_index(drop=True)
     out.insert(0, "query_id", query["query_id"].to_numpy()[q])
-    return out.assign(similarity=sims[r, q])
+    return out.assign(similarity=raw[r, q])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ Two ways lead to the same postings rows (db, scope, source, chunk_id, length, te
 
 * :func:`scan_postings` reads the chunks once and keeps only terms some query asks for;
   all other words shrink to a length per chunk before the first shuffle.  That small table
-  is checkpointed, since statistics and scores both read it;
+  is written once, since statistics and scores both read it;
 * :func:`build_postings` makes the full table, to be stored and searched many times.
 """
 
@@ -35,6 +35,7 @@ class Postings:
 
     rows: DataFrame
     corpus: DataFrame
+    only_asked: bool = False
 
 
 def with_questions(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -62,10 +63,9 @@ def scan_postings(chunks: DataFrame, wanted: DataFrame, texts: DataFrame | None
     tally = cut_lineage(terms.groupBy(*CHUNK_KEYS).agg(
         F.sum(is_counted(F.col("term")).cast("long")).alias("length"),
         F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("found")))
-    # tally is partitioned by chunk: the count below adds no shuffle
     rows = (tally.select(*CHUNK_KEYS, "length", F.explode("found").alias("term"))
             .groupBy(*CHUNK_KEYS, "length", "term").agg(F.count("*").alias("tf")))
-    return Postings(rows, _corpus(chunks, tally))
+    return Postings(rows, _corpus(chunks, tally), only_asked=True)
 
 
 def build_postings(chunks: DataFrame, texts: DataFrame | None = None) -> Postings:
@@ -93,12 +93,13 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 def score(postings: Postings, asked: DataFrame) -> DataFrame:
     """query_id, chunk keys and unrounded ``bm25`` of every match."""
-    wanted = bounded_broadcast(asked.select("db", "term").distinct())
-    rows = postings.rows.join(wanted, ["db", "term"], "left_semi")
+    rows = postings.rows
+    if not postings.only_asked:
+        rows = rows.join(bounded_broadcast(asked.select("db", "term").distinct()), ["db", "term"], "left_semi")
     stats = term_statistics(Postings(rows, postings.corpus)).select("db", "term", "idf", "mean_length")
     scoped = "scope" in asked.columns
     weights = asked.withColumnRenamed("scope", "asked_scope") if scoped else asked
-    weights = bounded_broadcast(weights.join(stats, ["db", "term"]))
+    weights = bounded_broadcast(cut_lineage(weights.join(stats, ["db", "term"])))
     hits = rows.join(weights, ["db", "term"])
     if scoped:
         hits = hits.where(F.col("asked_scope").isNull() | (F.col("asked_scope") == F.col("scope")))

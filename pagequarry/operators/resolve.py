@@ -121,7 +121,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node of each connected component (of nodes with edges).
 
     Alternates large-star and small-star steps: the number of rounds grows with the logarithm
-    of the component size, not with its diameter; every round ends in a checkpoint.
+    of the component size, not with its diameter; every round is written to the shared folder.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     seen = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,27 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint into the folder the session names in ``spark.checkpoint.dir``."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; only local runs may lack one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="pagequarry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute once into a table in the shared folder and go on from there.
+
+    The table outlives lost executors, is read column by column, and its size is known to
+    the planner, unlike that of a checkpointed RDD.
+    """
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="pagequarry-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = f"{shared_folder(spark)}/pagequarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
