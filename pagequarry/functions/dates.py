@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry import fixed_values as fv
 from pagequarry.functions.text import LEFT_EDGE, RIGHT_EDGE, SPACE, find_all
@@ -15,41 +18,45 @@ DAY_NAME_YEAR = rf"([0-9]{{1,2}})\.[{SPACE}]*([A-Za-zÄÖÜäöü]+)[{SPACE}]+([
 YEAR_MONTH_DAY = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
 
 
-def _made_date(year: Column, month: Column, day: Column) -> Column:
-    """NULL for an impossible date and for the year 0."""
-    return F.when(year > 0, F.try_make_timestamp_ntz(
-        year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+def read_date(segment: str) -> date | None:
+    """First date of a text segment; an impossible date in the form found first is final."""
+    if found := re.search(DAY_MONTH_YEAR, segment):
+        day, month, year = map(int, found.groups())
+    elif (found := re.search(DAY_NAME_YEAR, segment)) and found[2].lower() in fv.MONTH_NUMBERS:
+        day, month, year = int(found[1]), fv.MONTH_NUMBERS[found[2].lower()], int(found[3])
+    elif found := re.search(YEAR_MONTH_DAY, segment):
+        year, month, day = map(int, found.groups())
+    else:
+        return None
+    try:
+        return date(year, month, day)
+    except ValueError:
+        return None
 
 
-def _part(segment: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(segment, pattern, group).try_cast("int")
-
-
-def date_in(segment: Column) -> Column:
-    """First date of a text segment; an impossible date in the leading form is final."""
-    month = reduce(lambda c, kv: c.when(F.lower(F.regexp_extract(segment, DAY_NAME_YEAR, 2)) == kv[0], kv[1]),
-                   fv.MONTH_NUMBERS.items(), F.when(F.lit(False), 0))
-    return (F.when(segment.rlike(DAY_MONTH_YEAR),
-                   _made_date(*[_part(segment, DAY_MONTH_YEAR, g) for g in (3, 2, 1)]))
-            .when(segment.rlike(DAY_NAME_YEAR) & month.isNotNull(),
-                  _made_date(_part(segment, DAY_NAME_YEAR, 3), month, _part(segment, DAY_NAME_YEAR, 1)))
-            .when(segment.rlike(YEAR_MONTH_DAY),
-                  _made_date(*[_part(segment, YEAR_MONTH_DAY, g) for g in (1, 2, 3)])))
+@F.pandas_udf(T.DateType())
+def _first_date(tried: pd.Series) -> pd.Series:
+    return tried.map(lambda segments: next((d for s in segments for d in [read_date(s)] if d), None)
+                     if segments is not None else None)
 
 
 def effective_date(text: Column) -> Column:
-    """Date that follows the strongest cue in the document head, else the first bare date."""
+    """Date that follows the strongest cue in the document head, else the first bare date.
+
+    The texts after every cue, from the strongest cue down, and then the head itself are cut
+    out on the JVM and tried in order; the first that holds a date decides.  Texts whose
+    head has no digit never reach Python.
+    """
     head = F.left(text, F.lit(fv.DATE_HEAD_CHARS))
 
     def after(cue: str) -> Column:
         cue = cue.replace(r"\s", f"[{SPACE}]")
         if cue.startswith(r"\b"):
             cue = LEFT_EDGE + cue.removeprefix(r"\b").removesuffix(r"\b") + RIGHT_EDGE
-        reach = find_all(head, rf"(?iu){cue}(?=([\s\S]{{0,{fv.DATE_REACH_CHARS}}}))", 1)
-        dates = F.filter(F.transform(reach, date_in), lambda d: d.isNotNull())
-        return F.get(dates, F.lit(0))
+        return find_all(head, rf"(?iu){cue}(?=([\s\S]{{0,{fv.DATE_REACH_CHARS}}}))", 1)
 
-    return F.coalesce(*[after(cue) for cue in fv.DATE_CUES], date_in(head))
+    tried = F.concat(*[after(cue) for cue in fv.DATE_CUES], F.array(head))
+    return _first_date(F.when(head.rlike("[0-9]{4}"), tried))
 
 
 def iso_day(value: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
-from pagequarry.functions.text import WORD, find_all
+from pagequarry.functions.text import WORD, bind, find_all
 from pagequarry.functions.unicode_forms import PAIR_MARK, has_other_folds, strip_marks, words_with_folds
 
 
@@ -87,11 +86,6 @@ def query_terms(queries: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 # --- topic keys ---------------------------------------------------------------------
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Name a value that ``use`` refers to many times, so that it is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def drop_plural(token: Column) -> Column:
     size = F.length(token)
     return (F.when((size >= 5) & token.endswith("es"), F.left(token, size - 2))
@@ -101,7 +95,7 @@ def drop_plural(token: Column) -> Column:
 
 def term_key(token: Column) -> Column:
     """Comparison key of a word: its stem, or without plural where no suffix fits."""
-    pair = _bind(_bind(strip_marks(F.lower(token)), lambda f: F.struct(f.alias("folded"), stem(f).alias("stem"))),
+    pair = bind(bind(strip_marks(F.lower(token)), lambda f: F.struct(f.alias("folded"), stem(f).alias("stem"))),
                  lambda p: F.when(p["stem"] == p["folded"], drop_plural(p["stem"])).otherwise(p["stem"]))
     return pair
 

@@ -119,8 +119,8 @@ def chunk_language(spark: SparkSession, sf: str) -> DataFrame:
 # --- dates ------------------------------------------------------------------------------------
 
 _CUE_TEXT = {"1-URGENT": "Das Gesetz ist in Kraft getreten am {dmy}. Stand 01.01.1990",
-             "2-HIGH": "Verordnung, gültig ab {iso}, Fassung vom 31.02.2001",
-             "3-MEDIUM": "Fassung vom 31.02.2001, zuletzt vom {dmy}",
+             "2-HIGH": "Verordnung, gültig ab {iso}. Diese Verordnung ersetzt eine ältere, Fassung vom 31.02.2001",
+             "3-MEDIUM": "Fassung vom 31.02.2001 und danach noch einmal geändert, zuletzt vom {dmy}",
              "4-NOT SPECIFIED": "Hinweis: Stand {d}. {month} {y} laut Amt",
              "5-LOW": "Ohne Hinweis, am {dmy} erfasst"}
 _MONTH_NAMES = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
