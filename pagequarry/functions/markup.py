@@ -244,7 +244,8 @@ def json_rows(answer: Column, schema: str) -> Column:
 # --- numeric facts ----------------------------------------------------------------------------------
 
 _UNITS = "|".join(u for u in fv.FACT_UNITS if u != "%")
-_FACT = (rf"(?iu)(?<=(\A[\s\S]{{0,{fv.FACT_CONTEXT_CHARS - 1}}}|[\s\S]{{{fv.FACT_CONTEXT_CHARS}}}))"
+# The look-ahead for a digit comes first: only there is the text before captured.
+_FACT = (rf"(?iu)(?=\d)(?<=(\A[\s\S]{{0,{fv.FACT_CONTEXT_CHARS - 1}}}|[\s\S]{{{fv.FACT_CONTEXT_CHARS}}}))"
          rf"(\d+(?:[.,]\d+)?)[{SPACE}]*(%(?=[{WORD}])|(?:{_UNITS})(?![{WORD}]))")
 
 

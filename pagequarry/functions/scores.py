@@ -41,8 +41,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def norm(vector: Column) -> Column:
+    """Length of a vector; 1 for the zero vector, which then stays zero when scaled."""
+    length = F.sqrt(dot(vector, vector))
+    return F.when(length == 0, F.lit(1.0)).otherwise(length)
+
+
 def unit(vector: Column) -> Column:
-    """L2-normalised vector; the zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vector, lambda x: x.cast("double") / safe)
+    """L2-normalised vector (for short work; see dense.embed for the staged form)."""
+    scale = norm(vector)
+    return F.transform(vector, lambda x: x.cast("double") / scale)

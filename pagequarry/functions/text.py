@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +15,6 @@ LEFT_EDGE = rf"(?<![{WORD}])"
 RIGHT_EDGE = rf"(?![{WORD}])"
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Name a value that ``use`` refers to many times, so that it is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """Every non-overlapping match of ``pattern``, as an array of one group."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

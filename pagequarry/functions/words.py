@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
-from pagequarry.functions.text import WORD, bind, find_all
+from pagequarry.functions.text import WORD, find_all
 from pagequarry.functions.unicode_forms import PAIR_MARK, has_other_folds, strip_marks, words_with_folds
 
 
@@ -86,18 +86,14 @@ def query_terms(queries: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 # --- topic keys ---------------------------------------------------------------------
 
-def drop_plural(token: Column) -> Column:
-    size = F.length(token)
-    return (F.when((size >= 5) & token.endswith("es"), F.left(token, size - 2))
-            .when((size >= 4) & token.endswith("s") & ~token.endswith("ss"), F.left(token, size - 1))
-            .otherwise(token))
+# An English plural (at least three letters stay), where no listed suffix fits.
+_KEY_BACKWARDS = (r"\A(?:(?:" + "|".join(s[::-1] for s in fv.GERMAN_SUFFIXES + fv.ENGLISH_SUFFIXES)
+                  + rf")(?=.{{{fv.MIN_STEM_CHARS}}})|se(?=.{{3}})|s(?!s)(?=.{{3}}))")
 
 
 def term_key(token: Column) -> Column:
     """Comparison key of a word: its stem, or without plural where no suffix fits."""
-    pair = bind(bind(strip_marks(F.lower(token)), lambda f: F.struct(f.alias("folded"), stem(f).alias("stem"))),
-                 lambda p: F.when(p["stem"] == p["folded"], drop_plural(p["stem"])).otherwise(p["stem"]))
-    return pair
+    return F.reverse(F.regexp_replace(F.reverse(strip_marks(F.lower(token))), _KEY_BACKWARDS, ""))
 
 
 def topic_tokens(name: Column) -> Column:

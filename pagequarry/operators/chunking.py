@@ -2,8 +2,8 @@
 
 The work is done inside the row: no shuffle, whatever the number or the size of the
 documents.  Headings are marked by one regex replacement and the text is split at the
-marks; offsets and heading paths come from one fold over the sections.  Only sections
-above the size limit go through an Arrow UDF, which packs their paragraphs.
+marks; offsets and heading paths come from one fold over the sections.  A short Arrow helper
+then sizes the sections of each document.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ BLANK_LINES = rf"\n[{SPACE}]*\n"
 _MARK = "\ufdd0"
 
 _SECTION = "struct<text:string,start:int,anchor:string,path:array<string>>"
-_PIECE = "struct<text:string,start:int,anchor:string,path:array<string>>"
 
 
 def is_legal(text: Column) -> Column:
@@ -116,78 +115,61 @@ def pack_paragraphs(section: str) -> list[dict]:
         first, fresh = tail, stop
 
 
-_PART = T.StructType([T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())])
+def _part_name(anchor: str, n: int, n_parts: int) -> str:
+    if n_parts == 1 or (not anchor and n == n_parts - 1):
+        return anchor
+    return f"{anchor} (Teil {n + 1})" if anchor else f"part {n + 1}"
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(_PART)))
-def _packed(sections: pd.Series) -> pd.Series:
-    return sections.map(lambda row: None if row is None else
-                        [None if s is None else pack_paragraphs(s) for s in row])
+def size_sections(sections: list) -> list[dict]:
+    """Chunks of one document: long sections in parts, short pieces joined to the one before."""
+    chunks: list[dict] = []
+    for section in sections:
+        whole = section["text"]
+        parts = pack_paragraphs(whole) if len(whole) > fv.MAX_CHUNK_CHARS else [{"text": whole, "offset": 0}]
+        for n, part in enumerate(parts):
+            text, start = part["text"].strip(), section["start"] + part["offset"]
+            if chunks and len(text) < fv.MIN_CHUNK_CHARS:
+                chunks[-1]["text"] += "\n\n" + text
+                chunks[-1]["char_end"] = start + len(text)
+            else:
+                chunks.append({"anchor": _part_name(section["anchor"], n, len(parts)), "char_start": start,
+                               "heading_path": list(section["path"]), "char_end": start + len(text), "text": text})
+    return chunks
 
 
-def _sized_pieces(sections: Column, packed: Column) -> Column:
-    """Sections up to the limit as they are, longer ones as numbered parts."""
+_CHUNK = T.StructType([
+    T.StructField("anchor", T.StringType()), T.StructField("heading_path", T.ArrayType(T.StringType())),
+    T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()),
+    T.StructField("text", T.StringType())])
 
-    def parts_of(section: Column, i: Column) -> Column:
-        anchor = section["anchor"]
-        parts = F.get(packed, i)
 
-        def part(p: Column, n: Column) -> Column:
-            last = n == F.size(parts) - 1
-            name = (F.when((anchor != "") & (~last | (n > 0)), F.format_string("%s (Teil %d)", anchor, n + 1))
-                    .when((anchor == "") & ~last, F.format_string("part %d", n + 1))
-                    .otherwise(anchor))
-            return F.struct(tx.strip(p["text"]).alias("text"), (section["start"] + p["offset"]).alias("start"),
-                            name.alias("anchor"), section["path"].alias("path"))
-
-        whole = F.array(F.struct(tx.strip(section["text"]).alias("text"), section["start"].alias("start"),
-                                 anchor.alias("anchor"), section["path"].alias("path")))
-        return F.when(parts.isNull(), whole.cast(f"array<{_PIECE}>")) \
-            .otherwise(F.transform(parts, part).cast(f"array<{_PIECE}>"))
-
-    return F.flatten(F.transform(sections, parts_of))
-
-
-def _join_short(pieces: Column) -> Column:
-    """A piece under 80 characters joins the one before it; the first never moves."""
-    positions = F.sequence(F.lit(0), F.size(pieces) - 1)
-    heads = F.filter(positions, lambda i: (i == 0)
-                     | (F.length(F.get(pieces, i)["text"]) >= fv.MIN_CHUNK_CHARS))
-
-    def joined(head: Column, n: Column) -> Column:
-        until = F.coalesce(F.get(heads, n + 1), F.size(pieces))
-        members = F.slice(pieces, head + 1, until - head)
-        leader, last = F.get(pieces, head), F.get(pieces, until - 1)
-        return F.struct(
-            leader["anchor"].alias("anchor"), leader["path"].alias("heading_path"),
-            leader["start"].alias("char_start"),
-            (last["start"] + F.length(last["text"])).alias("char_end"),
-            F.array_join(F.transform(members, lambda m: m["text"]), "\n\n").alias("text"))
-
-    return F.when(F.size(pieces) > 0, F.transform(heads, joined))
+@F.pandas_udf(T.ArrayType(_CHUNK))
+def _sized(sections: pd.Series) -> pd.Series:
+    return sections.map(lambda row: None if row is None else size_sections(row))
 
 
 def section_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the array column ``sections`` (blank texts give no sections)."""
-    body = F.col(text)
+    """``docs`` plus the array column ``sections`` (blank texts give no sections).
+
+    Each array is a column of its own before a lambda looks into it, so that no lambda
+    computes it again for every element.
+    """
+    body, pieces = F.col(text), F.col("_pieces")
     return (docs.where(~tx.is_blank(body))
-            .withColumn("_pieces_legal", F.when(is_legal(body), _legal_pieces(body)))
-            .withColumn("sections", F.when(F.col("_pieces_legal").isNotNull(),
-                                           _sections(F.col("_pieces_legal"), legal=True))
-                        .otherwise(_sections(_markdown_pieces(body), legal=False)))
-            .drop("_pieces_legal"))
+            .withColumn("_legal", is_legal(body))
+            .withColumn("_pieces", F.when(F.col("_legal"), _legal_pieces(body)).otherwise(_markdown_pieces(body)))
+            .withColumn("sections", F.when(F.col("_legal"), _sections(pieces, legal=True))
+                        .otherwise(_sections(pieces, legal=False)))
+            .drop("_legal", "_pieces"))
 
 
 def split_documents(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per chunk: the kept columns, ``seq`` and the chunk columns."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    long = lambda s: F.length(s["text"]) > fv.MAX_CHUNK_CHARS
     cut = (section_rows(docs.select(*keep, F.col(text).alias("_doc")), "_doc")
            .withColumn("lang", tx.chunk_language(F.col("_doc"))).drop("_doc")
-           .withColumn("_packed", _packed(F.when(
-               F.exists("sections", long),
-               F.transform("sections", lambda s: F.when(long(s), s["text"])))))
-           .withColumn("_chunks", _join_short(_sized_pieces(F.col("sections"), F.col("_packed")))))
+           .withColumn("_chunks", _sized("sections")).drop("sections"))
     rows = cut.select(*keep, "lang", F.posexplode("_chunks").alias("seq", "_c")).select(*keep, "lang", "seq", "_c.*")
     return (rows.withColumn("_nfc", nfc_where_needed(F.col("text")))
             .select(*keep, "seq", tx.content_key(F.col("text"), F.col("_nfc")).alias("chunk_id"), "anchor",

@@ -68,7 +68,9 @@ def batched_model(embed: Callable[[list[str]], list[list[float]]],
 def embed(rows: DataFrame, model: Model = letter_model, text: str = "text") -> DataFrame:
     """``rows`` with a unit-length ``vec``; the text itself is untouched."""
     raw = model(F.left(F.col(text), F.lit(fv.EMBED_CHARS)))
-    return spread(rows).withColumn("_raw", raw).withColumn("vec", sc.unit(F.col("_raw"))).drop("_raw")
+    scaled = F.transform("_raw", lambda x: x.cast("double") / F.col("_norm"))
+    return (spread(rows).withColumn("_raw", raw).withColumn("_norm", sc.norm(F.col("_raw")))
+            .withColumn("vec", scaled).drop("_raw", "_norm"))
 
 
 def embedded_text(text: Column, page_type: Column, title: Column, description: Column, tags: Column) -> Column:
