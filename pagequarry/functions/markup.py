@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
@@ -244,23 +244,28 @@ def json_rows(answer: Column, schema: str) -> Column:
 # --- numeric facts ----------------------------------------------------------------------------------
 
 _UNITS = "|".join(u for u in fv.FACT_UNITS if u != "%")
-# The look-ahead for a digit comes first: only there is the text before captured.
-_FACT = (rf"(?iu)(?=\d)(?<=(\A[\s\S]{{0,{fv.FACT_CONTEXT_CHARS - 1}}}|[\s\S]{{{fv.FACT_CONTEXT_CHARS}}}))"
-         rf"(\d+(?:[.,]\d+)?)[{SPACE}]*(%(?=[{WORD}])|(?:{_UNITS})(?![{WORD}]))")
-
-
-def numeric_facts(text: Column) -> Column:
-    """array<struct(key, value)>: ``last word before|unit`` and ``number unit`` of every measure."""
-    def word_before(context: Column) -> Column:
-        found = find_all(context, rf"[A-Za-zÄÖÜäöüß][{WORD}\-]+")
-        return F.coalesce(term_key(F.get(found, F.size(found) - 1)), F.lit(""))
-
-    contexts, numbers, units = (find_all(text, _FACT, g) for g in (1, 2, 3))
-    values = F.zip_with(numbers, units, lambda n, u: F.struct(
-        F.replace(n, F.lit(","), F.lit(".")).alias("number"), F.lower(u).alias("unit")))
-    return F.zip_with(contexts, values, lambda c, v: F.struct(
-        F.concat(word_before(c), F.lit("|"), v["unit"]).alias("key"),
-        F.concat(v["number"], F.lit(" "), v["unit"]).alias("value")))
+_FACT = rf"(?iu)(\d+(?:[.,]\d+)?)[{SPACE}]*(%(?=[{WORD}])|(?:{_UNITS})(?![{WORD}]))"
+
+
+def with_numeric_facts(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds array<struct(key, value)>: ``last word before|unit`` and ``number unit`` of every measure.
+
+    The last word is looked for in the 40 characters before a number: the text since the
+    measure before it, and that measure.
+    """
+    t = F.col(text)
+    staged = (df.withColumn("_all", find_all(t, _FACT, 0)).withColumn("_between", F.split(t, _FACT, -1))
+              .withColumn("_number", find_all(t, _FACT, 1)).withColumn("_unit", find_all(t, _FACT, 2)))
+    before = F.transform("_number", lambda n, i: F.right(
+        F.concat(F.coalesce(F.get(F.col("_all"), i - 1), F.lit("")), F.get(F.col("_between"), i)), F.lit(fv.FACT_CONTEXT_CHARS)))
+    last_word = F.transform(before, lambda c: F.element_at(F.concat(F.array(F.lit("")), find_all(
+        c, rf"[A-Za-zÄÖÜäöüß][{WORD}\-]+")), -1))
+    keyed = staged.withColumn("_word", last_word).withColumn("_key", F.transform("_word", term_key))
+    facts = F.transform("_key", lambda k, i: F.struct(
+        F.concat(k, F.lit("|"), F.lower(F.get(F.col("_unit"), i))).alias("key"),
+        F.concat(F.replace(F.get(F.col("_number"), i), F.lit(","), F.lit(".")), F.lit(" "),
+                 F.lower(F.get(F.col("_unit"), i))).alias("value")))
+    return keyed.withColumn(name, facts).drop("_all", "_between", "_number", "_unit", "_word", "_key")
 
 
 def contradictions(old_facts: Column, new_facts: Column) -> Column:

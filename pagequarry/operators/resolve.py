@@ -255,9 +255,8 @@ def contradiction_rows(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` also carries old_date and new_date.  The comparison is inside the row.
     """
-    found = (spread(pairs).withColumn("_old", mk.numeric_facts(F.col("old_text")))
-             .withColumn("_new", mk.numeric_facts(F.col("new_text")))
-             .withColumn("_c", mk.contradictions(F.col("_old"), F.col("_new"))))
+    found = mk.with_numeric_facts(mk.with_numeric_facts(spread(pairs), "old_text", "_old"), "new_text", "_new")
+    found = found.withColumn("_c", mk.contradictions(F.col("_old"), F.col("_new")))
     newer = dt.is_newer(F.col("new_date"), F.col("old_date"))
     keep = [c for c in pairs.columns if c not in ("old_text", "new_text")]
     return (found.select(*keep, F.explode("_c").alias("_c")).withColumn("newer", newer)

@@ -171,19 +171,19 @@ def _sql_chunks(rules, legal: bool) -> str:
  good AS (SELECT * FROM sec WHERE anchor NOT IN ('Preamble', 'Präambel') OR start > 0 OR length(regexp_replace(txt, '^\\s+|\\s+$', '', 'g')) >= 80),
  par AS (SELECT doc_id, start, anchor, path, ps, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: length(p) + 2))) AS ends
     FROM (SELECT *, regexp_split_to_array(txt, '\\n\\s*\\n') AS ps FROM good WHERE length(txt) > 4000)),
- win AS (SELECT doc_id, start, anchor, path, ps, ends, 0 AS a, greatest(1, len(list_filter(ends, lambda e: e <= 4000))) AS b, start AS at, 1 AS part FROM par
+ win AS (SELECT doc_id, start, anchor, path, ps, ends, 0 AS a, greatest(1, len(list_filter(ends, lambda e: e <= 4000))) AS b, start AS pos0, 1 AS part FROM par
     UNION ALL
     SELECT doc_id, start, anchor, path, ps, ends, tail, greatest(b + 1, len(list_filter(ends, lambda e: e - coalesce(ends[tail], 0) <= 4000))),
-      at + (ends[b] - coalesce(ends[a], 0) - 2) - (ends[b] - coalesce(ends[tail], 0)), part + 1
+      pos0 + (ends[b] - coalesce(ends[a], 0) - 2) - (ends[b] - coalesce(ends[tail], 0)), part + 1
     FROM (SELECT *, greatest(a, len(list_filter(range(0, b), lambda j: coalesce(ends[j], 0) <= ends[b] - 300)) - 1) AS tail FROM win) t WHERE b < len(ps)),
- pieces AS (SELECT doc_id, start, 1 AS part, start AS at, anchor, path, regexp_replace(txt, '^\\s+|\\s+$', '', 'g') AS txt FROM good WHERE length(txt) <= 4000
-    UNION ALL SELECT doc_id, start, part, at, CASE WHEN anchor <> '' AND (part > 1 OR b < len(ps)) THEN anchor || ' (Teil ' || part || ')'
+ pieces AS (SELECT doc_id, start, 1 AS part, start AS pos0, anchor, path, regexp_replace(txt, '^\\s+|\\s+$', '', 'g') AS txt FROM good WHERE length(txt) <= 4000
+    UNION ALL SELECT doc_id, start, part, pos0, CASE WHEN anchor <> '' AND (part > 1 OR b < len(ps)) THEN anchor || ' (Teil ' || part || ')'
        WHEN anchor = '' AND b < len(ps) THEN 'part ' || part ELSE anchor END, path,
        regexp_replace(array_to_string(ps[a + 1:b], chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g') FROM win),
  num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, part) AS rn FROM pieces),
  grp AS (SELECT *, sum(CASE WHEN rn = 1 OR length(txt) >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rn) AS g FROM num),
- out AS (SELECT doc_id, g, arg_min(anchor, rn) AS anchor, arg_min(path, rn) AS path, arg_min(at, rn) AS char_start,
-    arg_max(at + length(txt), rn) AS char_end, string_agg(txt, chr(10) || chr(10) ORDER BY rn) AS txt FROM grp GROUP BY ALL)
+ out AS (SELECT doc_id, g, arg_min(anchor, rn) AS anchor, arg_min(path, rn) AS path, arg_min(pos0, rn) AS char_start,
+    arg_max(pos0 + length(txt), rn) AS char_end, string_agg(txt, chr(10) || chr(10) ORDER BY rn) AS txt FROM grp GROUP BY ALL)
 SELECT 'doc-' || doc_id || '.md' AS source, CAST(g - 1 AS BIGINT) AS seq, {_KEY.format('txt')} AS chunk_id, anchor, path AS heading_path,
   CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, CAST(length(txt) AS BIGINT) AS n_chars FROM out"""
 
