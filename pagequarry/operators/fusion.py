@@ -12,6 +12,7 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
 from pagequarry.operators import dense, lexical
+from pagequarry.session import cut_lineage
 
 Scorer = Callable[[Column, Column], Column]
 _KEYS = ("query_id", "db", "chunk_id")
@@ -94,6 +95,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFram
         hits = fuse(lex, dense.nearest(vectors, asked, fv.ARM_DEPTH), depth)
     if scorer is None:
         return hits
+    hits = cut_lineage(hits)     # read twice below: to pick texts and to be joined to them
     texts = lexical.with_text(hits, chunks)
     asked_text = queries.select("query_id", "db", F.col("text").alias("query_text")).distinct()
     return rerank(texts.join(asked_text, ["query_id", "db"]), k, scorer).drop("query_text", "text")

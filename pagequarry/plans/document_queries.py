@@ -259,8 +259,8 @@ def section_menu(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_MENU.split("SELECT 'doc-'")[0] + """, r AS (SELECT doc_id, arg_max(anchor, n) AS last FROM a GROUP BY doc_id)
 SELECT 'doc-' || r.doc_id || '.md' AS source, anchor FROM r JOIN a USING (doc_id)
-WHERE starts_with(lower(anchor), lower(left(last, 3))) OR starts_with(lower(left(last, 3)), lower(anchor))
-QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY CASE WHEN lower(anchor) = lower(left(last, 3)) THEN 0 ELSE 1 END, n) = 1""")
+WHERE starts_with(lower(anchor), lower(trim(left(last, 3)))) OR starts_with(lower(trim(left(last, 3))), lower(anchor))
+QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY CASE WHEN lower(anchor) = lower(trim(left(last, 3))) THEN 0 ELSE 1 END, n) = 1""")
 def resolve_sections(spark: SparkSession, sf: str) -> DataFrame:
     """The first three letters of the last anchor of every document, resolved by prefix."""
     cut = _section_chunks(spark, sf).where("anchor not in ('Preamble', '')")
