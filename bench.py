@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINES = ("bm25_topk", "postings", "dense_topk", "rrf_fusion", "affected_pages", "markdown_chunks", "exact_dedup", "lang_vote",
-             "link_graph", "shared_source_siblings", "linked_pages", "contradictions", "cascade_delete",
+             "link_graph", "shared_source_siblings", "linked_pages", "cascade_delete",
              "condition_filter", "log_by_day")
 
 
