@@ -11,6 +11,7 @@ from pagequarry.session import bounded_broadcast
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 MAX_STEPS = 60
+STEPS_PER_WRITE = 4
 TOLERANCE = 1e-7
 # Sums are taken over whole multiples of 1 / GRID, so that their order never shows.
 GRID = 1024
@@ -72,30 +73,35 @@ def tilts(sizes: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) -> D
         .withColumn("tilt", F.when(full, high).otherwise(0.0)).withColumn("high", high) \
         .withColumn("low", F.least(F.lit(0.0), F.col("mean") * F.log(F.col("target") / F.col("source_size"))) - 1e-9)
     state = stored(state)
-    for _ in range(MAX_STEPS):
-        if not state.where("not done").limit(1).count():
+    for _ in range(MAX_STEPS // STEPS_PER_WRITE):
+        if state.where("not done").isEmpty():
             break
-        open_ = bounded_broadcast(state.where("not done"))
-        rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), max_copies)
-        tokens = F.col("n") * F.col("size") * rate
-        sums = (counted.join(open_, counted["s"].eqNullSafe(open_["source"]))
-                .groupBy("s").agg(_exact_sum(tokens).alias("reached"),
-                                  _exact_sum(F.when(rate < max_copies, tokens * F.col("size") / F.col("mean"))).alias("slope")))
-        joined = state.join(sums, state["source"].eqNullSafe(sums["s"]), "left")
-        gap = F.col("reached") - F.col("target")
-        low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
-        upper = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - gap / F.nullif("slope", F.lit(0.0))
-        inside = (newton > low) & (newton < upper)
-        met = (F.abs(gap) <= F.col("target") * TOLERANCE) | (upper - low <= 1e-12)
-        state = stored(joined.select(
-            *goals.columns, "mean", (F.col("done") | F.coalesce(met, F.lit(False))).alias("done"),
-            F.when(F.col("done") | met, F.col("tilt")).when(inside, newton).otherwise((low + upper) / 2).alias("tilt"),
-            F.when(F.col("done"), F.col("high")).otherwise(upper).alias("high"),
-            F.when(F.col("done"), F.col("low")).otherwise(low).alias("low")))
+        for _ in range(STEPS_PER_WRITE):
+            state = _newton_step(state, counted, goals.columns, max_copies)
+        state = stored(state)
     return state.select(*goals.columns, "mean", "tilt")
 
 
+def _newton_step(state: DataFrame, counted: DataFrame, names: list[str], max_copies: int) -> DataFrame:
+    rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), max_copies)
+    tokens = F.col("n") * F.col("size") * rate
+    # The state rides along as group columns: one use of it per step keeps the plan a chain.
+    joined = (state.join(counted, F.col("source").eqNullSafe(F.col("s")), "left").groupBy(*state.columns)
+              .agg(_exact_sum(tokens).alias("reached"),
+                   _exact_sum(F.when(rate < max_copies, tokens * F.col("size") / F.col("mean"))).alias("slope")))
+    gap = F.col("reached") - F.col("target")
+    low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
+    upper = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
+    newton = F.col("tilt") - gap / F.nullif("slope", F.lit(0.0))
+    inside = (newton > low) & (newton < upper)
+    met = F.coalesce((F.abs(gap) <= F.col("target") * TOLERANCE) | (upper - low <= 1e-12), F.lit(False))
+    return joined.select(
+        *names, "mean", (F.col("done") | met).alias("done"),
+        F.when(F.col("done") | met, F.col("tilt")).when(inside, newton).otherwise((low + upper) / 2).alias("tilt"),
+        F.when(F.col("done"), F.col("high")).otherwise(upper).alias("high"),
+        F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"))
+
+
 def _with_rates(rows: DataFrame, tilted: DataFrame, max_copies: int) -> DataFrame:
     """``rows`` with target, whole and the place of their fraction (0 best, below 1 worst)."""
     per = tilted.select(F.col("source").alias("__source"), "source_size", "target", "mean", "tilt")
