@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import adaptive_scan, line_dedup, mixing, packing, pii, pivot_search, quality, simhash
+from pagequarry.llm import adaptive_scan, bwt_dedup, chat_repair, line_dedup, mixing, packing, pii, pivot_search, quality, simhash
 from pagequarry.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bwt_dedup.drop_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_search.top_k(table(spark, folder, "embeddings"))
 
@@ -28,6 +33,10 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.repair(table(spark, folder, "conversations"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,7 +62,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_pivot_search, op4_adaptive_scan, op5_simhash_near_dedup, op7_line_dedup, op8_source_mixing, op9_concatenate_and_cut, op10_personal_data)}
+    op1_quality_classifier, op2_run_length_dedup, op3_pivot_search, op4_adaptive_scan, op5_simhash_near_dedup, op6_role_repair, op7_line_dedup, op8_source_mixing, op9_concatenate_and_cut, op10_personal_data)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
