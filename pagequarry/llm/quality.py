@@ -47,7 +47,7 @@ def statistics(text: str, words: list[str], counts: Counter, extra: float) -> li
             marked / m, shouted / m, max(counts.values(), default=0) / m, extra]
 
 
-def features(text: str | None, extra: float | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, extra: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: hashed words of unit length, then every statistic as value and as bin."""
     text = text or ""
     words = text.split()
@@ -56,7 +56,7 @@ def features(text: str | None, extra: float | None) -> tuple[np.ndarray, np.ndar
     index = np.fromiter((zlib.crc32(w.encode()) for w in counts), np.int64, size) % BUCKETS
     value = 1 + np.log(np.fromiter(counts.values(), np.float64, size))
     value /= max(np.sqrt((value * value).sum()), 1e-9)
-    stats = np.array(statistics(text, words, counts, np.log1p(max(extra or 0, 0)) / 16))
+    stats = np.array(statistics(text, words, counts, min(1.0, np.log1p(max(extra, 0)) / 16)))
     bins = np.minimum((np.sqrt(np.clip(stats, 0, 1)) * BINS).astype(np.int64), BINS - 1)
     first = BUCKETS + np.arange(len(STATS)) * (BINS + 1)
     return (np.concatenate([index, first, first + 1 + bins]).astype(np.int32),
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", extra: str
 
 
 def _number(docs: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`").cast("double") if name in docs.columns else F.lit(None).cast("double")
+    return F.coalesce(F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(0.0)), F.lit(0.0)) if name in docs.columns else F.lit(0.0)
 
 
 def scorer(machine: Machine):
