@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
-from pagequarry.operators.lexical import best
+from pagequarry.operators.lexical import top
 from pagequarry.session import spread
 
 Model = Callable[[Column], Column]
@@ -34,33 +34,40 @@ def letter_model(text: Column) -> Column:
 
 
 def batched_model(embed: Callable[[list[str]], list[list[float]]],
-                  too_long: Callable[[Exception], bool] = lambda e: "too long" in str(e)) -> Model:
-    """Wrap a batch function; on overflow the batch is halved, a single text is shortened."""
-
-    def safe(texts: list[str]) -> list[list[float]]:
-        try:
-            return list(embed(texts))
-        except Exception as error:
-            if not too_long(error):
-                raise
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return safe(texts[:half]) + safe(texts[half:])
-            for limit in fv.EMBED_RETRY_CHARS:
-                try:
-                    return list(embed([texts[0][:limit]]))
-                except Exception as again:
-                    if not too_long(again):
-                        raise
-            raise
+                  overflow: tuple[str, ...] = ("too long", "context length", "maximum context")) -> Model:
+    """Wrap a batch function whose model refuses long input.
+
+    An error whose text has one of the ``overflow`` phrases means the input was too long.  The
+    texts are a list of pieces of work (first row, last row, characters per text): a refused
+    piece of several rows becomes its halves, one of a single row goes on with the next shorter
+    limit, and the error stands once there is none.
+    """
+    limits = (None, *fv.EMBED_RETRY_CHARS)
+
+    def smaller(first: int, last: int, tries: int) -> list[tuple[int, int, int]]:
+        middle = (first + last) // 2
+        if middle > first:
+            return [(middle, last, 0), (first, middle, 0)]
+        return [(first, last, tries + 1)] if tries + 1 < len(limits) else []
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        done: list = [None] * len(texts)
+        work = [(at, min(at + fv.EMBED_BATCH, len(texts)), 0) for at in range(0, len(texts), fv.EMBED_BATCH)]
+        while work:
+            first, last, tries = work.pop()
+            try:
+                done[first:last] = embed([t[:limits[tries]] for t in texts[first:last]])
+            except Exception as error:
+                refused = any(phrase in str(error).lower() for phrase in overflow)
+                if not refused or not (parts := smaller(first, last, tries)):
+                    raise
+                work += parts
+        return done
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            done: list = []
-            for at in range(0, len(texts), fv.EMBED_BATCH):
-                done.extend(safe(texts.iloc[at:at + fv.EMBED_BATCH].tolist()))
-            yield pd.Series(done, index=texts.index)
+            yield pd.Series(vectors(texts.tolist()), index=texts.index)
 
     return run
 
@@ -109,13 +116,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Query vectors counted to fit a task are sent to every task; each Arrow batch keeps its
     own k best by one matrix product, so the shuffle carries at most k rows per query and
-    batch.  More queries than that go block by block through a shuffle (:func:`_blockwise`).
+    batch.  Rows that share a chunk id are all hits.  More queries than that go block by block through a shuffle (:func:`_blockwise`).
     """
     columns = [c for c in ("query_id", "db", "scope") if c in queries.columns]
     asked = queries.select(*columns, "vec")
     first = asked.limit(1).collect()
     if not first:
-        return best(vectors.sparkSession.createDataFrame([], _HIT), "similarity", k).withColumn("score", F.lit(0.0))
+        return top(vectors.sparkSession.createDataFrame([], _HIT), "similarity", k).withColumn("score", F.lit(0.0))
     limit = max(1, QUERY_VALUES // len(first[0]["vec"]))
     block = asked.limit(limit + 1).toPandas()     # at most limit + 1 rows reach the driver
     if len(block) <= limit:
@@ -131,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         hits = vectors.select("db", "scope", "source", "chunk_id", "vec").mapInPandas(scan, _HIT)
     else:
         hits = _blockwise(vectors, asked, columns, k, limit)
-    return best(hits, "similarity", k, SCORE_DIGITS).withColumn("score", F.round("similarity", 4))
+    return top(hits, "similarity", k, SCORE_DIGITS).withColumn("score", F.round("similarity", 4))
 
 
 def _blockwise(vectors: DataFrame, asked: DataFrame, columns: list[str], k: int, limit: int) -> DataFrame:

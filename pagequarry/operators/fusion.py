@@ -32,7 +32,9 @@ def fuse(lexical_hits: DataFrame, dense_hits: DataFrame, k: int = 10) -> DataFra
     """
     lex = lexical_hits.select(*_KEYS, "scope", "source", "rank", F.col("score").alias("bm25"), "matched_terms",
                               (fv.WEIGHT_LEXICAL * sc.reciprocal_rank(F.col("rank"))).alias("share"))
-    sem = dense_hits.select(*_KEYS, "scope", "source", "rank", F.lit(None).cast("double").alias("bm25"),
+    # Of dense hits that share a chunk id the best one counts.
+    once = dense_hits.groupBy(*_KEYS).agg(F.min(F.struct("rank", "source", "scope")).alias("_hit")).select(*_KEYS, "_hit.*")
+    sem = once.select(*_KEYS, "scope", "source", "rank", F.lit(None).cast("double").alias("bm25"),
                             F.array().cast("array<string>").alias("matched_terms"),
                             (fv.WEIGHT_DENSE * sc.reciprocal_rank(F.col("rank"))).alias("share"))
     arms = lex.withColumn("arm", F.lit(0)).unionByName(sem.withColumn("arm", F.lit(1)))

@@ -116,20 +116,27 @@ def with_matched_terms(hits: DataFrame, postings: Postings, asked: DataFrame) ->
     return hits.join(found, ["query_id", *CHUNK_KEYS])
 
 
-def best(hits: DataFrame, value: str, k: int | Column, digits: int = ORDER_DIGITS,
-         group: tuple[str, ...] = ("query_id", "db")) -> DataFrame:
-    """The k best rows per query, with a 0-based ``rank``; a chunk id appears once.
+def _order(value: str, digits: int) -> list[Column]:
+    return [F.round(value, digits).desc(), F.col("chunk_id"), F.col("source")]
+
+
+def top(hits: DataFrame, value: str, k: int | Column, digits: int = ORDER_DIGITS,
+        group: tuple[str, ...] = ("query_id", "db")) -> DataFrame:
+    """The k best rows per query, with a 0-based ``rank``.
 
-    Each task ranks its own rows first (group limit), so at most k rows per query and
-    task are shuffled, whatever the number of matches.
+    With a number for ``k`` each task ranks its own rows first (group limit), so at most k rows
+    per query and task are shuffled, whatever the number of matches.
     """
-    order = [F.round(value, digits).desc(), F.col("chunk_id"), F.col("source")]
-    over = W.partitionBy(*group).orderBy(*order)
-    if isinstance(k, int):
-        hits = hits.withColumn("_n", F.row_number().over(over)).where(F.col("_n") <= 2 * k + 8)
-    once = W.partitionBy(*group, "chunk_id").orderBy(*order)
-    return (hits.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-            .withColumn("rank", F.row_number().over(over) - 1).where(F.col("rank") < k).drop("_n"))
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*_order(value, digits))))
+    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def best(hits: DataFrame, value: str, k: int | Column, digits: int = ORDER_DIGITS,
+         group: tuple[str, ...] = ("query_id", "db")) -> DataFrame:
+    """:func:`top` of the best row of every chunk id, however many rows share the id."""
+    once = W.partitionBy(*group, "chunk_id").orderBy(*_order(value, digits))
+    first = hits.withColumn("_n", F.row_number().over(once)).where("_n <= 1").drop("_n")
+    return top(first, value, k, digits, group)
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10, texts: DataFrame | None = None,

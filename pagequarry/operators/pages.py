@@ -99,13 +99,18 @@ def delete_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def cascade_delete(pages: DataFrame, deleted: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
     """(pages left, pages removed) after sources are deleted (db, source).
 
-    A listed source goes if it is the deleted name or a part of it.  A page that had sources
+    A listed source goes if its name starts with a deleted name: each source is looked up by its
+    prefixes of the lengths that deleted names of its database have.  A page that had sources
     and keeps none is removed, and links to removed pages are scrubbed.
     """
-    gone = deleted.select("db", F.col("source").alias("base")).withColumn("gone", F.lit(True))
-    each = pages.select("db", "filename", F.posexplode("sources").alias("pos", "source")) \
-        .withColumn("base", F.regexp_replace("source", mk.PART_SUFFIX, ""))
-    kept = (each.join(gone, ["db", "base"], "left").groupBy("db", "filename").agg(
+    gone = deleted.where("source <> ''").select("db", F.col("source").alias("base")).distinct()
+    lengths = gone.groupBy("db").agg(F.collect_set(F.length("base")).alias("lengths"))
+    each = pages.select("db", "filename", F.posexplode("sources").alias("pos", "source"))
+    named = each.select("db", "source").distinct().join(lengths, "db")
+    prefixes = named.select("db", "source", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("source")) \
+        .withColumn("base", F.left("source", F.col("n")))
+    hit = prefixes.join(gone, ["db", "base"], "left_semi").select("db", "source").distinct().withColumn("gone", F.lit(True))
+    kept = (each.join(hit, ["db", "source"], "left").groupBy("db", "filename").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "source")))),
                     lambda s: s["source"]).alias("kept"),
         F.count("*").alias("n_before")))

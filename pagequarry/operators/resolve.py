@@ -199,8 +199,9 @@ def merged_lines(members: DataFrame) -> DataFrame:
     """Union of the sections of a group of pages, as ordered rows; no fact is lost.
 
     ``members``: db, canonical, ord, body; ord 0 is the page the others are merged into.
-    A line of a later page is kept if no earlier section of the group has it; a section new
-    to the group comes with all its lines.  Groups are never gathered: first occurrences
+    Sections of that page stay where they are; a heading it has more than once takes new lines
+    at its last place.  A line of a later page is kept if no earlier section of the group has it;
+    a section new to the group comes with all its lines.  Groups are never gathered: first occurrences
     are minima, pre-aggregated before their shuffle.
     """
     rows = page_lines(members, ["db", "canonical", "ord"])
@@ -209,10 +210,12 @@ def merged_lines(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", at).withColumn("key", F.lower("heading")) \
         .withColumn("norm", tx.squeeze(F.lower(tx.strip(F.col("line")))))
     is_head = (F.col("section") > 0) & (F.col("line_no") == 0)
-    first_section = rows.where(is_head).groupBy(*group, "key").agg(F.min("at").alias("home"))
+    first_section = rows.where(is_head).groupBy(*group, "key").agg(
+        F.coalesce(F.max(F.when(F.col("ord") == 0, F.col("at"))), F.min("at")).alias("home"))
     first_line = rows.where(~is_head).groupBy(*group, "norm").agg(F.min("at").alias("line_at"))
     kept = (rows.join(first_section, [*group, "key"], "left").join(first_line, [*group, "norm"], "left")
             .withColumn("is_head", is_head)
+            .withColumn("home", F.when(F.col("ord") == 0, F.col("at")).otherwise(F.col("home")))
             .withColumn("home", F.coalesce("home", F.struct(F.lit(0).alias("ord"), F.lit(0).alias("section"))))
             .where((F.col("ord") == 0)
                    | (F.col("is_head") & (F.col("home") == F.col("at")))

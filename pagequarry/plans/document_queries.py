@@ -292,7 +292,7 @@ def question_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN true ELSE false END AS ok FROM conversations),
- v AS (SELECT conv_id, turn, left(text, 40) AS question, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM q WHERE ok QUALIFY n <= 5)
+ v AS (SELECT conv_id, turn, text AS question, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM q WHERE ok QUALIFY n <= 5)
 SELECT 'conv_' || conv_id || '.md' AS source, trim(question, ' ' || chr(10)) AS question FROM v WHERE trim(question, ' ' || chr(10)) <> ''
 UNION ALL SELECT 'conv_' || conv_id || '.md', 'Worum geht es in conv ' || conv_id || '?' FROM conversations
 WHERE conv_id NOT IN (SELECT conv_id FROM v) GROUP BY conv_id""")
@@ -302,7 +302,7 @@ def generated_questions(spark: SparkSession, sf: str) -> DataFrame:
     targets = conv.groupBy("source").agg(F.min("turn").alias("rank")).select(
         F.lit("main").alias("db"), "source", F.lit("c").alias("chunk_id"), F.lit(1).alias("rank"))
     answers = conv.select(F.lit("main").alias("db"), "source", F.when(F.col("role") == "user", "c").otherwise("unknown").alias("chunk_id"),
-                          F.col("turn").alias("pos"), F.left("text", F.lit(40)).alias("question"))
+                          F.col("turn").alias("pos"), F.col("text").alias("question"))
     return reading.generated_questions(targets, answers).select("source", "question")
 
 

@@ -305,7 +305,7 @@ def page_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH gone AS (SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > 2500), hit AS (SELECT doc_id, lang, source,
-  source IN (SELECT source FROM gone) AS g FROM documents), rm AS (SELECT doc_id FROM hit WHERE g AND lang IN ('en', 'es'))
+  EXISTS (SELECT 1 FROM gone WHERE starts_with(documents.source || '.md', gone.source)) AS g FROM documents), rm AS (SELECT doc_id FROM hit WHERE g AND lang IN ('en', 'es'))
 SELECT 'page-' || doc_id || '.md' AS filename, CASE WHEN g THEN '' ELSE source || '.md' END AS first, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM rm) THEN 0 ELSE 1 END AS n_related
 FROM hit WHERE doc_id NOT IN (SELECT doc_id FROM rm)""")
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,7 +313,7 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "documents")
     rows = _doc_pages(spark, sf).withColumn("sources", F.when(F.col("type").isin("Concept", ""), F.slice("sources", 1, 1)).otherwise(F.col("sources")))
     gone = d.groupBy("source").agg(F.avg("n_chars").alias("n")).where("n > 2500").select(
-        F.regexp_replace("source", "[0-9]+", "").alias("db"), F.concat("source", F.lit(".md")).alias("source"))
+        F.regexp_replace("source", "[0-9]+", "").alias("db"), "source")
     left, _ = pages.cascade_delete(rows, gone, F.to_date(F.lit("2030-01-01")))
     first = F.coalesce(F.get(F.filter("sources", lambda s: s.startswith("src")), F.lit(0)), F.lit(""))
     return left.select("filename", first.alias("first"), F.size("related").alias("n_related"))
@@ -401,8 +401,9 @@ def access_check(spark: SparkSession, sf: str) -> DataFrame:
     users = access.backfill_maintainers(users)
     grants = users.where("is_admin").select("username", F.lit("nation-3").alias("db"))
     users = access.grant_maintainer(users, grants)
-    dbs = [f"nation-{r[0]}" for r in src.table(spark, sf, "nation").select("n_nationkey").limit(1000).collect()]
-    asked = users.select("username", F.explode(F.array(*map(F.lit, dbs))).alias("db"))
+    dbs = src.table(spark, sf, "nation").agg(F.collect_list(F.concat(F.lit("nation-"), "n_nationkey")).alias("dbs"))
+    asked = users.select("username", F.lit(1).alias("one")).join(dbs.withColumn("one", F.lit(1)), "one") \
+        .select("username", F.explode("dbs").alias("db"))
     return access.may_read(users, asked)
 
 

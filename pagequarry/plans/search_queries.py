@@ -119,12 +119,14 @@ _DB_CHUNKS = """SELECT lang AS db, 'raw' AS scope, 'doc-' || doc_id || '.md' AS
 SELECT query_id, db, {_RANK}, db || '::' || source AS file, round(bm25, 3) AS score FROM lex""")
 def multi_db_search(spark: SparkSession, sf: str) -> DataFrame:
     """Each query in every database, budget split, names qualified."""
-    dbs = [r["lang"] for r in src.table(spark, sf, "documents").select("lang").distinct().limit(1000).collect()]
+    dbs = src.table(spark, sf, "documents").agg(F.collect_set("lang").alias("dbs"))
+    n_dbs = dbs.select(F.size("dbs")).first()[0]
     base = src.table(spark, sf, "benchmark")
-    asked = base.select(F.col("item_id").cast("string").alias("query_id"), F.explode(F.array(*map(F.lit, dbs))).alias("db"), "text")
-    hits = lexical.search(src.chunks(spark, sf, "lang"), asked, lexical.per_db_budget(6, len(dbs)), matched_terms=False)
+    asked = base.withColumn("one", F.lit(1)).join(dbs.withColumn("one", F.lit(1)), "one").select(
+        F.col("item_id").cast("string").alias("query_id"), F.explode("dbs").alias("db"), "text")
+    hits = lexical.search(src.chunks(spark, sf, "lang"), asked, lexical.per_db_budget(6, n_dbs), matched_terms=False)
     return answering.search_text(
-        hits.withColumn("matched_terms", F.array().cast("array<string>")).withColumn("preview", F.lit("")), len(dbs)).select(
+        hits.withColumn("matched_terms", F.array().cast("array<string>")).withColumn("preview", F.lit("")), n_dbs).select(
         "query_id", "db", _rank(), F.regexp_extract("block", r"file: (\S+)", 1).alias("file"), "score")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import dates, rules, unicode_forms
 from pagequarry.functions.words import explode_words, term_key, word_forms
-from pagequarry.operators import chunking, fusion, graph, lexical, resolve
+from pagequarry.operators import chunking, dense, fusion, graph, lexical, pages, resolve
 from pagequarry.plans import catalog
 from pagequarry.sources import files
 
@@ -40,27 +40,64 @@ def test_plain_characters_fold_one_to_one():
             assert unicode_forms.fold(c) == table.get(c, c)
 
 
-def _windows_by_loop(text):
-    """One paragraph at a time, as a plain loop."""
-    out, held = [], []
-    size = lambda ps: sum(len(p) + 2 for p in ps)
-    for p in re.split(r"\n\s*\n", text):
-        if held and size(held) + len(p) + 2 > 4000:
-            out.append("\n\n".join(held))
-            tail = []
-            while len(tail) < len(held) and size(tail) < 300:
-                tail = held[len(held) - len(tail) - 1:]
-            held = tail + [p]
-        else:
-            held = held + [p]
-    return out + ["\n\n".join(held)]
+def test_packing_by_hand():
+    packed = lambda *ps: [p["text"] for p in chunking.pack_paragraphs("\n\n".join(ps))]
+    a, b, c = "a" * 2500, "b" * 2500, "c" * 200
+    assert packed(c) == [c] and packed(a, c) == [a + "\n\n" + c]
+    assert packed(a, b) == [a, a + "\n\n" + b]
 
 
-def test_packing_equals_a_plain_loop():
+def test_packing_covers_in_order_with_small_overlaps():
     rng = random.Random(7)
-    for _ in range(300):
-        text = "\n\n".join("x" * rng.choice([1, 50, 290, 310, 900, 2500, 5000]) for _ in range(rng.randint(1, 25)))
-        assert [p["text"] for p in chunking.pack_paragraphs(text)] == _windows_by_loop(text)
+    for _ in range(200):
+        parts = [f"{i}:" + "x" * rng.choice([1, 50, 290, 310, 900, 2500, 5000]) for i in range(rng.randint(1, 25))]
+        runs = [[int(p.split(":")[0]) for p in w["text"].split("\n\n")] for w in chunking.pack_paragraphs("\n\n".join(parts))]
+        size = lambda run: sum(len(parts[i]) + 2 for i in run)
+        assert all(run == list(range(run[0], run[-1] + 1)) for run in runs)
+        assert runs[0][0] == 0 and runs[-1][-1] == len(parts) - 1
+        for left, right in zip(runs, runs[1:]):  # noqa: B905
+            shared = [i for i in right if i <= left[-1]]
+            assert shared and shared[-1] == left[-1] and size(shared[1:]) < 300
+            assert size(shared) >= 300 or shared == left
+            assert size([*left, left[-1] + 1]) > 4000
+
+
+def test_repeated_chunk_ids(spark):
+    rows = [("d", "raw", f"s{i:02}", "same" if i < 40 else f"c{i}", "red fox") for i in range(50)]
+    chunks = spark.createDataFrame(rows, "db string, scope string, source string, chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "d", "fox")], "query_id string, db string, text string")
+    found = [r.chunk_id for r in lexical.search(chunks, asked, 10, matched_terms=False).orderBy("rank").collect()]
+    assert len(found) == 10 == len(set(found))
+    near = dense.nearest(dense.embed(chunks), dense.embed(asked), 12).collect()
+    assert [r["rank"] for r in sorted(near, key=lambda r: r["rank"])] == list(range(12))
+
+
+def test_batched_model_overflow(spark):
+    def embed(texts):
+        if sum(map(len, texts)) > 3000:
+            raise ValueError("input exceeds the Maximum Context of this model")
+        return [[float(len(t)), 1.0] for t in texts]
+    rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 2900, 2900, 9000, 5])], "i int, text string").coalesce(1)
+    out = {r.i: r.v[0] for r in rows.select("i", dense.batched_model(embed)(F.col("text")).alias("v")).collect()}
+    assert {k: out[k] for k in (0, 1, 2, 4)} == {0: 10, 1: 2900, 2: 2900, 4: 5} and out[3] <= 3000
+
+
+def test_merge_keeps_base_sections_in_place(spark):
+    base = "# A\none\n\n## N\nfirst\n\n## M\nmiddle\n\n## N\nlast"
+    rows = [("d", "p", 0, base), ("d", "p", 1, "## N\nnew line\n\n## X\nonly here\n\n## M\nmiddle")]
+    out = resolve.merged_lines(spark.createDataFrame(rows, "db string, canonical string, ord int, body string")).collect()
+    lines = [r.line for r in sorted(out, key=lambda r: (r.home.ord, r.home.section, r.ord, r.section, r.line_no))]
+    assert lines == ["# A", "one", "## N", "first", "## M", "middle", "## N", "last", "new line", "## X", "only here"]
+
+
+def test_cascade_delete_by_name_prefix(spark):
+    rows = [("d", "a.md", ["rep.pdf [Teil 1/2]", "rep"], ["b.md"], "old"), ("d", "b.md", ["report.md", "other"], ["a.md"], "old"),
+            ("d", "c.md", [], ["a.md"], "old"), ("e", "f.md", ["rep"], [], "old")]
+    frame = spark.createDataFrame(rows, "db string, filename string, sources array<string>, related array<string>, updated string")
+    left, removed = pages.cascade_delete(frame, spark.createDataFrame([("d", "rep")], "db string, source string"), F.lit("now"))
+    assert [r.filename for r in removed.collect()] == ["a.md"]
+    assert {r.filename: (r.sources, r.related, r.updated) for r in left.collect()} == {
+        "b.md": (["other"], [], "now"), "c.md": ([], [], "now"), "f.md": (["rep"], [], "old")}
 
 
 def test_pieces_hold_the_whole_text():
