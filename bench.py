@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINES = ("bm25_topk", "postings", "dense_topk", "rrf_fusion", "affected_pages", "markdown_chunks", "exact_dedup", "lang_vote",
              "link_graph", "shared_source_siblings", "linked_pages", "cascade_delete",
-             "condition_filter", "log_by_day")
+             "condition_filter", "log_by_day", "contradictions")
 
 
 def main() -> None:

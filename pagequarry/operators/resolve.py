@@ -258,10 +258,26 @@ def contradiction_rows(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` also carries old_date and new_date.  The comparison is inside the row.
     """
-    found = mk.with_numeric_facts(mk.with_numeric_facts(spread(pairs), "old_text", "_old"), "new_text", "_new")
+    return _conflicts(mk.with_numeric_facts(mk.with_numeric_facts(spread(pairs), "old_text", "_old"), "new_text", "_new"))
+
+
+def contradictions_between(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
+    """:func:`contradiction_rows` of two tables joined on ``on``; only facts are joined.
+
+    ``old`` has old_text and old_date, ``new`` has new_text and new_date.  Facts are read once per
+    distinct text, which costs far more than the exchange that finds the distinct ones, and are
+    written before they are compared, so that the comparison does not repeat the patterns.
+    """
+    def facts(rows: DataFrame, text: str, name: str) -> DataFrame:
+        found = cut_lineage(mk.with_numeric_facts(spread(rows.select(text).distinct()), text, name).where(F.size(name) > 0))
+        return rows.join(found, text).drop(text)
+    return _conflicts(facts(new, "new_text", "_new").join(facts(old, "old_text", "_old"), on))
+
+
+def _conflicts(found: DataFrame) -> DataFrame:
     found = found.withColumn("_c", mk.contradictions(F.col("_old"), F.col("_new")))
     newer = dt.is_newer(F.col("new_date"), F.col("old_date"))
-    keep = [c for c in pairs.columns if c not in ("old_text", "new_text")]
+    keep = [c for c in found.columns if c not in ("old_text", "new_text", "_old", "_new", "_c")]
     return (found.select(*keep, F.explode("_c").alias("_c")).withColumn("newer", newer)
             .select(*keep, "newer", F.col("_c.key").alias("key"), F.col("_c.old").alias("old"), F.col("_c.new").alias("new"),
                     mk.conflict_sentence(F.col("_c"), F.col("newer")).alias("sentence")))

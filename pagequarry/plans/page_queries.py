@@ -219,12 +219,12 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE CAST(l_quantity AS BIGINT
 def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of line items against the weight on the part page."""
     line, part = src.table(spark, sf, "lineitem"), src.table(spark, sf, "part")
-    rows = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
-        F.concat(F.lit("part-"), "l_partkey", F.lit(".md")).alias("page"), "l_orderkey", "l_linenumber",
-        F.concat("p_name", F.lit(" has weight "), "p_size", F.lit(" kg and is kept 12 days.")).alias("old_text"),
-        F.concat(F.lit("Shipped with weight "), F.col("l_quantity").cast("long"), F.lit(" kg, see tariff 7.")).alias("new_text"),
-        F.to_date(F.lit("1998-01-01")).alias("old_date"), F.to_date("l_shipdate").alias("new_date"))
-    out = resolve.contradiction_rows(rows)
+    old = part.select(F.concat(F.lit("part-"), "p_partkey", F.lit(".md")).alias("page"), F.to_date(F.lit("1998-01-01")).alias("old_date"),
+                      F.concat("p_name", F.lit(" has weight "), "p_size", F.lit(" kg and is kept 12 days.")).alias("old_text"))
+    new = line.select(F.concat(F.lit("part-"), "l_partkey", F.lit(".md")).alias("page"), "l_orderkey", "l_linenumber",
+                      F.concat(F.lit("Shipped with weight "), F.col("l_quantity").cast("long"), F.lit(" kg, see tariff 7.")).alias("new_text"),
+                      F.to_date("l_shipdate").alias("new_date"))
+    out = resolve.contradictions_between(old, new, ["page"])
     return out.select("page", "l_orderkey", "l_linenumber", "key", "sentence")
 
 
