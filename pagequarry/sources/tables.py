@@ -68,6 +68,7 @@ class KnowledgeStore:
         self.spark = spark
         self.chunks = SourceTable(spark, f"{folder}/chunks", buckets)
         self.postings = SourceTable(spark, f"{folder}/postings", buckets)
+        self.versions = SourceTable(spark, f"{folder}/versions", buckets)
 
     def build(self, chunks: DataFrame) -> None:
         """Full build: the first row of every chunk id is indexed."""
@@ -85,6 +86,7 @@ class KnowledgeStore:
     def delete(self, sources: DataFrame) -> None:
         self.chunks.replace(sources)
         self.postings.replace(sources)
+        self.versions.replace(sources)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         rows = self.postings.read()
