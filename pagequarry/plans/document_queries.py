@@ -33,11 +33,16 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", tx.content_key(F.col("text"), F.col("nfc")).alias("chunk_id"))
 
 
-@query(f"""SELECT {_KEY.format('text')} AS chunk_id, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1""")
+@query(f"""WITH d AS (SELECT doc_id, source, text FROM documents
+  UNION ALL SELECT doc_id + 1000000000, source, replace(text, 'é', 'e' || chr(769)) FROM documents)
+SELECT {_KEY.format('nfc_normalize(text)')} AS chunk_id, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM d GROUP BY 1""")
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The first document of every content."""
-    docs = src.table(spark, sf, "documents").select(
-        F.lit("main").alias("db"), tx.content_key(F.col("text")).alias("chunk_id"), "doc_id", "source")
+    """The first document of every content, also among copies with decomposed accents."""
+    base = src.table(spark, sf, "documents").select("doc_id", "source", "text")
+    decomposed = base.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "source",
+                             F.replace("text", F.lit("é"), F.lit("e\u0301")).alias("text"))
+    docs = spread(base.unionByName(decomposed)).withColumn("nfc", nfc_where_needed(F.col("text"))).select(
+        F.lit("main").alias("db"), tx.content_key(F.col("text"), F.col("nfc")).alias("chunk_id"), "doc_id", "source")
     return chunking.first_per_chunk(docs, ["doc_id"]).select("chunk_id", "doc_id", "source")
 
 
