@@ -174,6 +174,14 @@ def present(hits: DataFrame) -> DataFrame:
     return hits.withColumn("preview", tx.preview(F.col("text")))
 
 
+HIT_COLUMNS = ("anchor", "heading_path", "char_start", "char_end", "lang")
+
+
+def hit_rows(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with everything their chunk row says (place, language, text) and a preview."""
+    return present(with_text(hits, chunks, (*HIT_COLUMNS, "text")))
+
+
 def health(chunks: DataFrame) -> DataFrame:
     """Rows per database for both scopes, zero where a scope is empty."""
     def n(scope: str) -> Column:

@@ -24,6 +24,26 @@ def read_window(sources: DataFrame, offset: Column) -> DataFrame:
                           F.substring("text", start + 1, F.lit(fv.READ_WINDOW_CHARS)).alias("window"))
 
 
+def read_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, db, filename, found, content, sources, related of every request (request_id, db, filename).
+
+    A page that is not there gives a message as its content.
+    """
+    have = pages.select("db", "filename", F.lit(True).alias("found"), F.col("body").alias("content"), "sources", "related")
+    none = F.array().cast("array<string>")
+    return (requests.select("request_id", "db", "filename").join(have, ["db", "filename"], "left")
+            .select("request_id", "db", "filename", F.coalesce("found", F.lit(False)).alias("found"),
+                    F.when(F.col("found"), F.coalesce("content", F.lit("")))
+                    .otherwise(F.concat(F.lit("Page not found: "), "filename")).alias("content"),
+                    F.coalesce("sources", none).alias("sources"), F.coalesce("related", none).alias("related")))
+
+
+def search_scope(chosen: Column, allowed: Column, active: Column) -> Column:
+    """Chosen databases that are allowed, in the order chosen; the active one where none is left."""
+    left = F.array_intersect(chosen, allowed)
+    return F.when(F.size(left) > 0, left).otherwise(F.array(active))
+
+
 def section_menu(chunks: DataFrame) -> DataFrame:
     """db, source, anchor, pos, next_anchor: distinct anchors of a source in document order."""
     anchors = chunks.where("anchor <> ''").groupBy("db", "source", "anchor").agg(F.min("seq").alias("pos"))

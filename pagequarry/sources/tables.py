@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import chunking, lexical
+from pagequarry.operators import chunking, dense, lexical
 from pagequarry.operators.pages import delete_source, replace_source
-from pagequarry.session import bounded_broadcast
+from pagequarry.session import bounded_broadcast, cut_lineage
 
 BUCKETS = 256
 
@@ -32,6 +32,19 @@ class SourceTable:
     def write(self, rows: DataFrame) -> None:
         self._placed(rows).write.mode("overwrite").partitionBy("db", "bucket").parquet(self.path)
 
+    def append(self, rows: DataFrame) -> None:
+        self._placed(rows).write.mode("append").partitionBy("db", "bucket").parquet(self.path)
+
+    def drop(self, dbs: DataFrame) -> None:
+        """Remove everything of the given databases (db): their folders go, no row is rewritten."""
+        if not self.exists():
+            return
+        known = self.read().select("db").distinct().join(dbs.select("db").distinct(), "db", "left_semi")
+        jvm = self.spark._jvm
+        for row in known.collect():   # one name per database
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/db={row['db']}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def read(self, dbs: list[str] | None = None) -> DataFrame:
         rows = self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("db", F.col("db").cast("string"))
         return (rows if dbs is None else rows.where(F.col("db").isin(dbs))).drop("bucket")
@@ -62,34 +75,107 @@ class SourceTable:
 
 
 class KnowledgeStore:
-    """Chunks and postings of all databases under one folder."""
+    """Chunks, postings, lengths, vectors and questions of all databases under one folder.
+
+    Vectors are optional: a store without them stays lexical, and changes keep them up to date
+    only where they were built with the model that the change names.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark = spark
         self.chunks = SourceTable(spark, f"{folder}/chunks", buckets)
         self.postings = SourceTable(spark, f"{folder}/postings", buckets)
+        self.lengths = SourceTable(spark, f"{folder}/lengths", buckets)
+        self.vectors = SourceTable(spark, f"{folder}/vectors", buckets)
+        self.questions = SourceTable(spark, f"{folder}/questions", buckets)
         self.versions = SourceTable(spark, f"{folder}/versions", buckets)
 
+    def tables(self) -> dict[str, SourceTable]:
+        return {"chunks": self.chunks, "postings": self.postings, "lengths": self.lengths, "vectors": self.vectors,
+                "questions": self.questions, "versions": self.versions}
+
     def build(self, chunks: DataFrame) -> None:
         """Full build: the first row of every chunk id is indexed."""
         self.chunks.write(chunks)
-        once = chunking.first_per_chunk(self.chunks.read(), ["source", "seq"])
-        self.postings.write(lexical.build_postings(once).rows)
+        postings, lengths = _indexed(self.chunks.read())
+        self.postings.write(postings)
+        self.lengths.write(lengths)
+
+    def build_vectors(self, model: dense.Model, name: str) -> None:
+        """Embed every chunk; ``name`` says with which model from now on."""
+        self.vectors.write(_embedded(self.chunks.read(), model, name))
 
-    def replace(self, documents: DataFrame) -> None:
+    def has_vectors(self, name: str) -> bool:
+        return self.vectors.exists() and not self.vectors.read().where(F.col("model") == name).isEmpty()
+
+    def replace(self, documents: DataFrame, model: dense.Model | None = None, name: str = "") -> None:
         """Re-chunk and re-index some sources (db, source, text); all others stay as they are."""
-        sources = documents.select("db", "source").distinct()
         new = chunking.split_documents(documents.select("db", "source", "text")).withColumn("scope", F.lit("raw"))
-        self.chunks.replace(sources, new)
-        self.postings.replace(sources, lexical.build_postings(chunking.first_per_chunk(new, ["source", "seq"])).rows)
+        self.replace_chunks(documents.select("db", "source").distinct(), new, model, name)
+
+    def replace_chunks(self, sources: DataFrame, chunks: DataFrame, model: dense.Model | None = None, name: str = "") -> None:
+        """Replace the chunks of ``sources`` (db, source) in every table that holds something of them."""
+        self.chunks.replace(sources, chunks)
+        postings, lengths = _indexed(chunks)
+        self.postings.replace(sources, postings)
+        self.lengths.replace(sources, lengths)
+        if model is not None and self.has_vectors(name):
+            self.vectors.replace(sources, _embedded(chunks, model, name))
 
     def delete(self, sources: DataFrame) -> None:
-        self.chunks.replace(sources)
-        self.postings.replace(sources)
-        self.versions.replace(sources)
+        for table in self.tables().values():
+            table.replace(sources)
+
+    def reset(self, dbs: DataFrame) -> DataFrame:
+        """db, table, removed: everything of the given databases goes, with the rows it had."""
+        counts = None
+        for name, table in self.tables().items():
+            if table.exists():
+                n = table.read().join(dbs.select("db").distinct(), "db", "left_semi").groupBy("db").agg(
+                    F.lit(name).alias("table"), F.count("*").alias("removed"))
+                counts = n if counts is None else counts.unionByName(n)
+        counts = cut_lineage(counts) if counts is not None else self.spark.createDataFrame([], "db string, table string, removed bigint")
+        for table in self.tables().values():
+            table.drop(dbs)
+        return counts
+
+    def add_questions(self, questions: DataFrame) -> None:
+        """Append db, source, chunk_id, question."""
+        self.questions.append(questions.select("db", "source", "chunk_id", "question"))
+
+    def delete_questions(self, sources: DataFrame) -> DataFrame:
+        """db, source, removed: the questions of ``sources`` go; sources without any are not listed."""
+        if not self.questions.exists():
+            return self.spark.createDataFrame([], "db string, source string, removed bigint")
+        gone = cut_lineage(self.questions.read().join(sources, ["db", "source"], "left_semi")
+                           .groupBy("db", "source").agg(F.count("*").alias("removed")))
+        self.questions.replace(sources)
+        return gone
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        rows = self.postings.read()
-        keys = rows.groupBy(*lexical.CHUNK_KEYS).agg(F.first("length").alias("length"))
-        corpus = keys.groupBy("db").agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
-        return lexical.search_postings(lexical.Postings(rows, corpus), queries, k)
+        """BM25; the size of the corpus comes from the narrow table of lengths."""
+        corpus = self.lengths.read().groupBy("db").agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
+        return lexical.search_postings(lexical.Postings(self.postings.read(), corpus), queries, k)
+
+    def search_vectors(self, queries: DataFrame, model: dense.Model, name: str, k: int = 10) -> DataFrame:
+        """Vector search with the stored vectors; no hits where there are none of this model."""
+        rows = self.vectors.read().where(F.col("model") == name) if self.vectors.exists() else \
+            self.spark.createDataFrame([], _VECTOR)
+        return dense.nearest(rows, dense.embed(queries, model), k)
+
+
+_VECTOR = "db string, scope string, source string, chunk_id string, model string, vec array<double>"
+
+
+def _indexed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings, and the length of every indexed chunk (zero where it has no terms)."""
+    once = chunking.first_per_chunk(chunks, ["source", "seq"])
+    postings = cut_lineage(lexical.build_postings(once).rows)
+    counted = postings.groupBy(*lexical.CHUNK_KEYS).agg(F.first("length").alias("length"))
+    return postings, (once.select(*lexical.CHUNK_KEYS).join(counted, lexical.CHUNK_KEYS, "left")
+                      .withColumn("length", F.coalesce("length", F.lit(0)).cast("bigint")))
+
+
+def _embedded(chunks: DataFrame, model: dense.Model, name: str) -> DataFrame:
+    return (dense.embed(chunks.select(*lexical.CHUNK_KEYS, "text"), model)
+            .select("db", "scope", "source", "chunk_id", F.lit(name).alias("model"), F.col("vec").cast("array<double>").alias("vec")))
