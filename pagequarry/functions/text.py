@@ -140,15 +140,20 @@ def urls(text: Column) -> Column:
     return F.array_distinct(find_all(text, URL))
 
 
-def chat_gate(answer: Column, extra_sources: Column | None = None) -> Column:
-    """Verdict on a chat answer: enough words, two sources, one of them an original."""
+def chat_counts(answer: Column, extra_sources: Column | None = None) -> list[Column]:
+    """n_words, n_originals and n_sources, the numbers that :func:`chat_gate` judges."""
     answer = F.coalesce(answer, F.lit(""))
     originals = raw_citations(answer)
     if extra_sources is not None:
         originals = F.array_union(originals, F.coalesce(extra_sources, F.array().cast("array<string>")))
-    n_words = word_count(answer)
     n_originals = F.size(originals)
-    n_sources = n_originals + F.size(wiki_citations(answer))
+    return [word_count(answer).alias("n_words"), n_originals.alias("n_originals"),
+            (n_originals + F.size(wiki_citations(answer))).alias("n_sources")]
+
+
+def chat_gate(answer: Column, extra_sources: Column | None = None) -> Column:
+    """Verdict on a chat answer: enough words, two sources, one of them an original."""
+    n_words, n_originals, n_sources = chat_counts(answer, extra_sources)
     return (F.when(n_words < fv.CHAT_MIN_WORDS, "REJECTED: words")
             .when((n_sources < fv.CHAT_MIN_SOURCES) | (n_originals == 0), "REJECTED: sources")
             .otherwise(F.format_string("ACCEPTED: %d words, %d sources cited.", n_words, n_sources)))

@@ -224,20 +224,62 @@ def merged_lines(members: DataFrame) -> DataFrame:
     return kept.select(*group, "home", "ord", "section", "line_no", "line")
 
 
-def merged_header(members: DataFrame) -> DataFrame:
+def merged_header(members: DataFrame, conflicts: DataFrame | None = None, today: Column | None = None) -> DataFrame:
     """Header fields of merged groups: ordered unions of lists, earliest creation date.
 
-    ``members`` also carries sources, related and created.
+    ``members`` also carries sources, related, key_terms and created.  With ``conflicts`` (of
+    :func:`merged_conflicts`) a group that has some gets ``confidence`` low; with ``today`` a group
+    of several pages is updated on that day.
     """
+    group = ["db", "canonical"]
+
     def union(field: str) -> DataFrame:
-        each = members.select("db", "canonical", "ord", F.posexplode(field).alias("pos", "v")) \
+        each = members.select(*group, "ord", F.posexplode(field).alias("pos", "v")) \
             .withColumn("v", tx.strip(F.col("v"))).where("v <> ''")
-        first = each.groupBy("db", "canonical", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
-        return first.groupBy("db", "canonical").agg(
+        first = each.groupBy(*group, "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
+        return first.groupBy(*group).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias(field))
 
-    dates = members.groupBy("db", "canonical").agg(F.min("created").alias("created"))
-    return dates.join(union("sources"), ["db", "canonical"], "left").join(union("related"), ["db", "canonical"], "left")
+    out = members.groupBy(*group).agg(F.min("created").alias("created"), F.count("*").alias("n_pages"))
+    for field in ("sources", "related", "key_terms"):
+        if field in members.columns:
+            out = out.join(union(field), group, "left").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
+    if today is not None:
+        out = out.withColumn("updated", F.when(F.col("n_pages") > 1, today))
+    if conflicts is not None:
+        low = conflicts.select(*group).distinct().withColumn("confidence", F.lit("low"))
+        out = out.join(low, group, "left")
+    return out
+
+
+def merged_conflicts(members: DataFrame, today: Column) -> DataFrame:
+    """db, canonical, ord, key, newer, sentence: what each page of a group contradicts when its turn comes.
+
+    ``members``: db, canonical, ord, body, effective_date, updated, created; ord 0 is the page the
+    others are merged into, one after the other.  A page contradicts the pages before it in a key
+    for which they have values and it brings a new one.  Only the first page of every value counts
+    as its origin, so copies are counted away before pages of a group meet.  The merged page has
+    the date of its first page, and from the first merge on ``today`` unless it has an effective date.
+    """
+    group, fact = ["db", "canonical"], ["db", "canonical", "key"]
+    dated = members.select(*group, "ord", dt.page_date(F.col("effective_date"), F.col("updated"), F.col("created")).alias("date"),
+                           F.col("effective_date").alias("effective"), "body")
+    facts = (mk.with_numeric_facts(spread(dated.select(*group, "ord", "body")), "body", "_f")
+             .select(*group, "ord", F.explode("_f").alias("_f")).select(*group, "ord", "_f.key", "_f.value").distinct())
+    facts = cut_lineage(facts)
+    first = facts.groupBy(*fact, "value").agg(F.min("ord").alias("ord"))
+    before = W.partitionBy(*fact).orderBy("ord").rangeBetween(W.unboundedPreceding, -1)
+    fresh = (first.withColumn("old", F.array_sort(F.collect_set("value").over(before))).where(F.size("old") > 0)
+             .groupBy(*fact, "ord").agg(F.first("old").alias("old")))
+    stated = facts.join(fresh, [*fact, "ord"]).groupBy(*fact, "ord").agg(
+        F.first("old").alias("old"), F.array_sort(F.collect_set("value")).alias("new"))
+    base = dated.groupBy(*group).agg(F.min(F.when(F.col("ord") > 0, F.col("ord"))).alias("second"),
+                                     F.min(F.when(F.col("ord") == 0, F.struct("date", "effective"))).alias("base"))
+    met = stated.join(dated.select(*group, "ord", "date"), [*group, "ord"]).join(base, group)
+    known = F.when(F.col("ord") == F.col("second"), F.col("base.date")).otherwise(F.coalesce("base.effective", today))
+    newer = dt.is_newer(F.col("date"), known)
+    return met.select(*group, "ord", "key", newer.alias("newer"),
+                      mk.conflict_sentence(F.struct("key", "old", "new"), newer).alias("sentence"))
 
 
 def remap_related(pages: DataFrame, renamed: DataFrame) -> DataFrame:

@@ -240,6 +240,17 @@ def read_windows(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("total").cast("long").alias("total"), F.col("window").alias("w"), "footer")
 
 
+@query("""SELECT doc_id, CAST(o AS BIGINT) AS start, CASE WHEN o < length(text) THEN CAST(least(length(text), o + 16000) AS BIGINT) END AS end_at, substr(text, o + 1, 16000) AS w,
+  CASE WHEN o >= length(text) THEN '(offset past end)' WHEN o + 16000 < length(text) THEN '…[truncated; pass offset=' || (o + 16000) || ' to continue]'
+    WHEN o > 0 THEN '…[end of file]' ELSE '' END AS footer FROM (SELECT doc_id, text, unnest(range(0, length(text) + 1, 16000)) AS o FROM documents)""")
+def read_all_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window of every raw text, as a reader that follows the footers gets them."""
+    docs = src.documents_as(spark, sf, lambda t: t).withColumn("offset", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(16000))))
+    out = reading.read_window(docs, F.col("offset"))
+    return out.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("doc_id"), F.col("start").cast("long").alias("start"),
+                      F.col("end").cast("long").alias("end_at"), F.col("window").alias("w"), "footer")
+
+
 _MENU = """WITH l AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) AS n
    FROM (SELECT doc_id, {md} AS b FROM documents)),
  a AS (SELECT doc_id, trim(regexp_extract(line, '^#{{2,4}}\\s+(.*)$', 1)) AS anchor, min(n) AS n FROM l

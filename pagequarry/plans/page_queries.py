@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
@@ -212,6 +212,50 @@ def merged_lines(spark: SparkSession, sf: str) -> DataFrame:
         "canonical", "line", F.when(F.col("ord") == 0, F.col("base")).otherwise(F.col("ord") - 1).alias("first"))
 
 
+def _part_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item as a page of its part; ord by order and line."""
+    turn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")) - 1
+    name = lambda head, key: F.concat(F.lit(head), F.col(key).cast("string"))
+    return src.table(spark, sf, "lineitem").select(
+        F.lit("parts").alias("db"), name("part-", "l_partkey").alias("canonical"), turn.cast("long").alias("ord"),
+        F.concat(F.lit("Shipped with weight "), F.col("l_quantity").cast("long"), F.lit(" kg by "), "l_linestatus", F.lit(", see tariff 7.")).alias("body"),
+        F.array(name("supplier-", "l_suppkey"), F.lit(" all.md "), F.lit("")).alias("sources"),
+        F.array(name("line ", "l_linenumber"), F.lower("l_returnflag")).alias("key_terms"),
+        F.when(F.col("l_suppkey") % 5 == 0, F.date_add(F.to_date("l_shipdate"), 30)).alias("effective_date"),
+        F.to_date("l_shipdate").alias("updated"), F.date_sub(F.to_date("l_shipdate"), F.col("l_suppkey").cast("int")).alias("created"))
+
+
+_PARTS = """m AS (SELECT 'part-' || l_partkey AS canonical, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_shipdate, l_returnflag, l_linestatus) - 1 AS ord,
+   CAST(l_quantity AS BIGINT) || ' kg' AS v, CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_shipdate AS DATE) + 30 END AS e, CAST(l_shipdate AS DATE) AS d,
+   CAST(l_shipdate AS DATE) - CAST(l_suppkey AS INTEGER) AS c, 'supplier-' || l_suppkey AS s, 'line ' || l_linenumber AS t1, lower(l_returnflag) AS t2 FROM lineitem),
+ f AS (SELECT canonical, v, min(ord) AS ord FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PARTS}, o AS (SELECT a.canonical, a.ord, a.v, string_agg(b.v, ', ' ORDER BY b.v) AS old FROM f a JOIN f b ON a.canonical = b.canonical AND b.ord < a.ord GROUP BY ALL)
+SELECT o.canonical, o.ord, CASE WHEN coalesce(m.e, m.d) > CASE WHEN o.ord = 1 THEN coalesce(b.e, b.d) ELSE coalesce(b.e, DATE '1996-01-01') END
+  THEN 'weight: now ' || o.v || ' per the newer source; previously ' || o.old ELSE 'weight: sources disagree — ' || o.old || ' vs ' || o.v || ' (unresolved)' END AS sentence
+FROM o JOIN m ON m.canonical = o.canonical AND m.ord = o.ord JOIN m b ON b.canonical = o.canonical AND b.ord = 0""")
+def merged_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each page contradicts when it is merged into the page of its part."""
+    return resolve.merged_conflicts(_part_pages(spark, sf), F.lit("1996-01-01").cast("date")).select("canonical", "ord", "sentence")
+
+
+@query(f"""WITH {_PARTS}, x AS (SELECT canonical, min(ord) AS o, 0 AS p, s AS v FROM m GROUP BY canonical, s UNION ALL SELECT DISTINCT canonical, 0, 1, 'all.md' FROM m),
+ k AS (SELECT canonical, v, min((ord, p)) AS o FROM (SELECT canonical, ord, 0 AS p, t1 AS v FROM m UNION ALL SELECT canonical, ord, 1, t2 FROM m) GROUP BY ALL),
+ low AS (SELECT canonical FROM f GROUP BY canonical HAVING count(*) > 1)
+SELECT canonical, min(c) AS created, CASE WHEN count(*) > 1 THEN DATE '1996-01-01' END AS updated,
+  (SELECT string_agg(v, ',' ORDER BY o, p) FROM x WHERE x.canonical = m.canonical) AS sources,
+  (SELECT string_agg(v, ',' ORDER BY o) FROM k WHERE k.canonical = m.canonical) AS key_terms,
+  CASE WHEN canonical IN (SELECT canonical FROM low) THEN 'low' END AS confidence FROM m GROUP BY canonical""")
+def merged_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists united in order, earliest and new dates, low confidence after a conflict."""
+    members, today = _part_pages(spark, sf), F.lit("1996-01-01").cast("date")
+    out = resolve.merged_header(members, resolve.merged_conflicts(members, today), today)
+    return out.select("canonical", "created", "updated", F.array_join("sources", ",").alias("sources"),
+                      F.array_join("key_terms", ",").alias("key_terms"), "confidence")
+
+
 @query("""SELECT 'part-' || l_partkey || '.md' AS page, l_orderkey, l_linenumber, 'weight|kg' AS key,
   CASE WHEN l_shipdate > TIMESTAMP '1998-01-01' THEN 'weight: now ' || CAST(l_quantity AS BIGINT) || ' kg per the newer source; previously ' || p_size || ' kg'
   ELSE 'weight: sources disagree — ' || p_size || ' kg vs ' || CAST(l_quantity AS BIGINT) || ' kg (unresolved)' END AS sentence
@@ -388,6 +432,22 @@ def citation_gate(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", tx.chat_gate(F.col("t")).alias("verdict"))
 
 
+@query("""WITH c AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' [Wiki: a.md] [Wiki:  b.md ]' WHEN 2 THEN ' [Source: a.md] [Source: a.md ]'
+   WHEN 3 THEN ' [Source: a.md §1] [Source: a.md §2] [Wiki: a.md]' ELSE ' [Source: ' || source || '.txt] [Wiki: ' || lang || '.md] [Source: note.pdf]' END AS t FROM documents),
+ n AS (SELECT doc_id, CAST(len(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS n_words,
+   CAST([0, 0, 1, 2, 1][doc_id % 5 + 1] AS INTEGER) AS n_originals, CAST([0, 2, 1, 3, 2][doc_id % 5 + 1] AS INTEGER) AS n_sources FROM c)
+SELECT *, CASE WHEN n_words < 300 THEN 'REJECTED: words' WHEN n_sources < 2 OR n_originals = 0 THEN 'REJECTED: sources'
+  ELSE 'ACCEPTED: ' || n_words || ' words, ' || n_sources || ' sources cited.' END AS verdict FROM n""")
+def citation_gate_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of all lengths with no, repeated, wiki-only and section citations."""
+    n = F.col("doc_id") % 5
+    cited = (F.when(n == 0, "").when(n == 1, " [Wiki: a.md] [Wiki:  b.md ]").when(n == 2, " [Source: a.md] [Source: a.md ]")
+             .when(n == 3, " [Source: a.md §1] [Source: a.md §2] [Wiki: a.md]")
+             .otherwise(F.concat(F.lit(" [Source: "), "source", F.lit(".txt] [Wiki: "), "lang", F.lit(".md] [Source: note.pdf]"))))
+    rows = src.table(spark, sf, "documents").select("doc_id", F.concat("text", cited).alias("t"))
+    return rows.select("doc_id", *tx.chat_counts(F.col("t")), tx.chat_gate(F.col("t")).alias("verdict"))
+
+
 _USERS = """u AS (SELECT c_name AS username, ['nation-' || c_nationkey, 'seg-' || lower(c_mktsegment)] AS dbs, c_acctbal > 5000 AS is_admin FROM customer)"""
 
 
