@@ -221,13 +221,21 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_chunks(spread(rows)).select("source", "chunk_id", "anchor", "scope", F.length("text").alias("n_chars"))
 
 
-@query("""SELECT 'doc-' || doc_id || '.md' AS source, CAST(0 AS BIGINT) AS piece, CAST(length(text) AS BIGINT) AS n_chars
-  FROM documents WHERE length(text) <= 40000""")
+_PIECE = """CASE WHEN length(rest) <= 40000 THEN length(rest) WHEN strpos(reverse(left(rest, 40000)), chr(10) || chr(10)) BETWEEN 1 AND 39998
+  THEN 40001 - strpos(reverse(left(rest, 40000)), chr(10) || chr(10)) ELSE 40000 END"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT 'doc-' || doc_id || '.md' AS source, CAST(0 AS BIGINT) AS piece,
+   repeat(CASE WHEN lang = 'de' THEN text ELSE replace(text, chr(10), chr(10) || chr(10)) END, 12) AS rest FROM documents
+ UNION ALL SELECT source, piece + 1, substr(rest, {_PIECE} + 1) FROM p WHERE length(rest) > {_PIECE})
+SELECT source, piece, CAST({_PIECE} AS BIGINT) AS n_chars, md5(left(rest, {_PIECE})) AS digest FROM p""")
 def synthesis_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """documents cut into pieces of at most 40,000 characters (all fit in one piece here)."""
-    docs = src.documents_as(spark, sf, lambda t: t).select("source", "text")
+    """long documents, with and without blank lines, cut into pieces of at most 40,000 characters."""
+    blank_lines = F.when(F.col("lang") == "de", F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    docs = src.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("source"), F.repeat(blank_lines, 12).alias("text"))
     cut = chunking.synthesis_pieces(docs)
-    return cut.select("source", F.col("piece").cast("long").alias("piece"), F.length("piece_text").cast("long").alias("n_chars"))
+    return cut.select("source", F.col("piece").cast("long").alias("piece"), F.length("piece_text").cast("long").alias("n_chars"),
+                      F.md5("piece_text").alias("digest"))
 
 
 @query("""SELECT doc_id, CAST(least(length(text), 16000) AS BIGINT) AS end_at, CAST(length(text) AS BIGINT) AS total,

@@ -363,15 +363,13 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("filename", first.alias("first"), F.size("related").alias("n_related"))
 
 
-@query("""SELECT 'page-' || doc_id || '.md' AS filename, 'A' || chr(10) || '## Key facts' || chr(10) || CASE WHEN length(text) > 20 THEN text ELSE 'x01234567890123456789' END
- || chr(10) || '## End' || chr(10) || source AS body, CAST(1 AS BIGINT) AS removed FROM (SELECT doc_id, source, regexp_replace(text, '#', '', 'g') AS text FROM documents)
- WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 21 OR length(text) <= 20""")
+@query("""SELECT 'page-' || doc_id || '.md' AS filename, 'A' || chr(10) || CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 21
+  THEN '## key facts' || chr(10) || text ELSE '## Key facts' || chr(10) || 'x01234567890123456789' END || chr(10) || '## End' || chr(10) || source AS body, CAST(1 AS BIGINT) AS removed
+ FROM (SELECT doc_id, source, regexp_replace(text, '(?m)^##', '.##', 'g') AS text FROM documents)""")
 def section_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    """Of two adjacent equal sections the longer one stays."""
-    d = src.table(spark, sf, "documents").select("doc_id", "source", F.regexp_replace("text", "#", "").alias("text"))
-    d = d.where((F.length(tx.strip(F.col("text"))) > 21) | (F.length("text") <= 20))
+    """Of two adjacent equal sections the longer one stays, of equally long ones the first."""
+    d = src.table(spark, sf, "documents").select("doc_id", "source", F.regexp_replace("text", "(?md)^##", ".##").alias("text"))
     body = F.concat(F.lit("A\n## Key facts\nx01234567890123456789\n## key facts\n"), "text", F.lit("\n## End\n"), "source")
-    body = F.when(F.length("text") > 20, F.replace(body, F.lit("## key facts"), F.lit("## Key facts"))).otherwise(body)
     rows = spread(d.select(F.concat(F.lit("page-"), "doc_id", F.lit(".md")).alias("filename"), body.alias("b")))
     out = rows.withColumn("c", mk.collapse_sections(F.col("b")))
     return out.select("filename", F.col("c.body").alias("body"), F.col("c.removed").cast("long").alias("removed"))

@@ -266,11 +266,16 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("slice", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")])
 
 
+PASSAGES_PER_BLOCK = 1000
+
+
 def containing_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, token): documents that hold a query text literally.
 
     Candidates come from an equi-join on the rarest full word of the passage, then the
-    literal test runs on the few documents left; nothing is compared with everything.
+    literal test runs on the few documents left; nothing is compared with everything.  Only
+    passages without a full word inside (one or two words, or stop words alone) are looked for
+    in every document, block by block.
     """
     inner = explode_words(asked, F.regexp_replace("text", r"^\S+|\S+$", ""), ["query_id"]).select("query_id", "token").distinct()
     words = explode_words(docs, F.col("text"), ["chunk_id"]).select("chunk_id", "token") \
@@ -281,8 +286,18 @@ def containing_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
         .select("query_id", F.col("r.token").alias("token"))
     pairs = words.join(rare, "token").select("query_id", "chunk_id")
     texts = docs.select("chunk_id", "text")
-    return (pairs.join(texts, "chunk_id").join(asked.select("query_id", F.col("text").alias("passage")), "query_id")
-            .where(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("token")))
+    found = (pairs.join(texts, "chunk_id").join(asked.select("query_id", F.col("text").alias("passage")), "query_id")
+             .where(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("token")))
+    short = cut_lineage(asked.join(inner.select("query_id").distinct(), "query_id", "left_anti").where("text <> ''")
+                        .select("query_id", F.col("text").alias("passage")))
+    n_blocks = -(-short.count() // PASSAGES_PER_BLOCK)
+    if not n_blocks:
+        return found
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "passage")).alias("passages"))
+    met = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    inside = F.filter("passages", lambda p: F.col("text").contains(p["passage"]))
+    return found.unionByName(met.select(F.explode(inside).alias("p"), "chunk_id").select("p.query_id", F.col("chunk_id").alias("token")))
 
 
 # --- page queries over hits -----------------------------------------------------------------------------------

@@ -166,3 +166,10 @@ def test_fusion_without_dense_hits_keeps_bm25(spark):
 def test_oracle(spark, name):
     con = oracle_check.connect(SMALL)
     assert oracle_check.compare(catalog.QUERIES[name](spark, SMALL), con, catalog.ORACLES[name]) is None
+
+
+def test_short_passages_find_their_documents(spark):
+    from pagequarry.plans.search_queries import containing_documents
+    docs = spark.createDataFrame([("1", "a red fox ran"), ("2", "infrared foxes"), ("3", "the grey wolf of the wood")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("a", "red fox"), ("b", "the grey wolf of"), ("c", "x"), ("d", "of the")], "query_id string, text string")
+    assert sorted(map(tuple, containing_documents(docs, asked).collect())) == [("a", "1"), ("a", "2"), ("b", "3"), ("c", "1"), ("c", "2"), ("d", "3")]
