@@ -303,14 +303,15 @@ def raw_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH t AS {src.sql_terms('documents', 'doc_id')}, d AS (SELECT doc_id, count(DISTINCT term) AS density FROM t WHERE NOT contains(term, '⁄') GROUP BY 1),
- r AS (SELECT source || '.md' AS source, doc_id, coalesce(density, 0) AS density, length(text) AS n FROM documents LEFT JOIN d USING (doc_id))
-SELECT source, doc_id, density, CAST(row_number() OVER (PARTITION BY source ORDER BY density DESC, n DESC, doc_id) AS BIGINT) AS rank
+ r AS (SELECT source || '.md' AS source, doc_id, coalesce(density, 0) AS density, length(text) AS n, lang IN ('de', 'fr') AS anchored FROM documents LEFT JOIN d USING (doc_id))
+SELECT source, doc_id, density, CAST(row_number() OVER (PARTITION BY source ORDER BY anchored DESC, density DESC, n DESC, doc_id) AS BIGINT) AS rank
 FROM r QUALIFY rank <= 5""")
 def question_targets(spark: SparkSession, sf: str) -> DataFrame:
     """The five densest documents of every collection."""
     chunks = src.table(spark, sf, "documents").select(
         F.lit("main").alias("db"), F.concat("source", F.lit(".md")).alias("source"), F.col("doc_id").alias("seq"),
-        F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("anchor"), F.array().cast("array<string>").alias("heading_path"),
+        F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("lang") == "de", "§ 1").otherwise("").alias("anchor"),
+        F.when(F.col("lang") == "fr", F.array(F.lit("Doc"))).otherwise(F.array().cast("array<string>")).alias("heading_path"),
         F.lit(0).alias("char_start"), "text")
     return reading.question_targets(chunks).select("source", F.col("seq").alias("doc_id"), "density", F.col("rank").cast("long").alias("rank"))
 

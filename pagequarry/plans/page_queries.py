@@ -300,6 +300,21 @@ def stamped_pages(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("filename", F.array_join("tags", ",").alias("tags"), "resource", F.col("timestamp").alias("ts"))
 
 
+@query("""WITH l AS (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+   lambda x: x <> '' AND NOT regexp_matches(x, '^[#\\-*|>]'))[1] AS line FROM documents),
+ r AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'Fact of ' || doc_id || ' [Source: a.md], short. ;' WHEN 'fr' THEN 'Stated' ELSE coalesce(nullif(regexp_extract(line, '^(.*?[.!?])\\s', 1), ''), line, '') END AS raw FROM l),
+ c AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(raw, '\\[[^\\]]*\\]', '', 'g'), '\\s+', ' ', 'g')), '^[ .;,]+', ''), '[ .;,]+$', '') AS clean FROM r)
+SELECT doc_id, CASE WHEN length(clean) > 160 THEN rtrim(regexp_replace(left(clean, 160), ' [^ ]*$', '')) || '…' ELSE clean END AS description FROM c""")
+def derived_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """a stated description stays; else the first key fact, else the first sentence, cut at a word."""
+    facts = F.when(F.col("lang") == "de", F.concat(F.lit("\n## Key facts\n* Fact of "), "doc_id", F.lit(" [Source: a.md], short. ;\n- second\n"))).otherwise("")
+    rows = src.table(spark, sf, "documents").select(
+        "doc_id", F.lit("main").alias("db"), F.lit("concept").alias("type"), F.concat("text", facts).alias("body"), F.col("source").alias("part_of"),
+        F.when(F.col("lang") == "fr", "Stated").otherwise(" ").alias("description"), F.array("source").alias("sources"),
+        F.to_date(F.lit("2024-01-01")).alias("updated"), F.to_date(F.lit("2024-01-01")).alias("created"))
+    return pages.stamp(spread(rows)).select("doc_id", "description")
+
+
 @query("""SELECT 'page-' || doc_id || '.md' AS filename, rtrim(text, ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || chr(10) || '## Citations' || chr(10) || chr(10)
  || '1. ' || source || '.md' || chr(10) || '2. doc-' || doc_id || '.txt' || chr(10) AS body FROM documents""")
 def cited_pages(spark: SparkSession, sf: str) -> DataFrame:
