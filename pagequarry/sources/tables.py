@@ -14,6 +14,7 @@ from pagequarry.operators.pages import delete_source, replace_source
 from pagequarry.session import bounded_broadcast, cut_lineage
 
 BUCKETS = 256
+_INFER = "spark.sql.sources.partitionColumnTypeInference.enabled"
 
 
 class SourceTable:
@@ -45,8 +46,18 @@ class SourceTable:
             folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/db={row['db']}")
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
+    def _stored(self) -> DataFrame:
+        """The table with its partition columns; database names are text, whatever they look like."""
+        before = self.spark.conf.get(_INFER)
+        self.spark.conf.set(_INFER, "false")
+        try:
+            rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        finally:
+            self.spark.conf.set(_INFER, before)
+        return rows.withColumn("bucket", F.col("bucket").cast("int"))
+
     def read(self, dbs: list[str] | None = None) -> DataFrame:
-        rows = self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("db", F.col("db").cast("string"))
+        rows = self._stored()
         return (rows if dbs is None else rows.where(F.col("db").isin(dbs))).drop("bucket")
 
     def replace(self, sources: DataFrame, new_rows: DataFrame | None = None) -> None:
@@ -56,7 +67,7 @@ class SourceTable:
                 self.write(new_rows)
             return
         touched = bounded_broadcast(self._placed(sources).select("db", "bucket").distinct())
-        stored = self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("db", F.col("db").cast("string"))
+        stored = self._stored()
         old = stored.join(touched, ["db", "bucket"], "left_semi")
         columns = stored.columns
         if new_rows is None:
