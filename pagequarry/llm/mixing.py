@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ TOLERANCE = 1e-7
 # Sums are taken over whole multiples of 1 / GRID, so that their order never shows.
 GRID = 1024
 BUCKETS = 4096
-FILL_ROUNDS = 3
+# Sources of at most so many open units are finished in one task each.
+FEW = 4096
+CUTS = "array<struct<gap:bigint,place:double,size:bigint>>"
 ADDED = ("size", "source_size", "target", "copies")
 
 
@@ -118,50 +121,96 @@ def _buckets(place: Column) -> tuple[Column, Column]:
     return F.floor(fine / BUCKETS), F.pmod(fine, F.lit(BUCKETS))
 
 
-def cuts(rated: DataFrame) -> DataFrame:
-    """source, first, second: the buckets of places up to which documents get their extra copy.
+def _taken(weight: str) -> Column:
+    """Whether a cut has taken what is at (__place, size): it fitted when the cut began, and comes up to its end."""
+    end = lambda c: (F.col("__place") < c["place"]) | ((F.col("__place") == c["place"]) & (F.col("size") <= c["size"]))
+    return F.coalesce(F.exists("cuts", lambda c: (F.col(weight) <= c["gap"]) & end(c)), F.lit(False))
+
+
+def _passed(rows: DataFrame, bucket: str) -> DataFrame:
+    """s, gap, bucket, before: the first bucket where the running weight passes the gap, none if all fit."""
+    sums = rows.groupBy("s", "gap", "before", bucket).agg(F.sum("weight").alias("weight"))
+    run = F.col("before") + F.sum("weight").over(Window.partitionBy("s").orderBy(bucket))
+    return stored(sums.withColumn("run", run).groupBy("s", "gap").agg(
+        F.min(F.when(F.col("run") > F.col("gap"), F.struct(bucket, (F.col("run") - F.col("weight")).alias("before")))).alias("at"),
+        F.max("run").alias("all")).select("s", "gap", f"at.{bucket}", F.coalesce("at.before", "all").alias("before")))
+
+
+def _prefix(left: DataFrame) -> DataFrame:
+    """s, rest, cuts: the longest run of units, in the order of their places, that fits the gap.
 
     Two histograms of at most BUCKETS rows per source, the second inside the bucket where the
-    running size of the first passes what the whole copies leave open.
+    running weight of the first passes the gap, then the units of one bucket of the second.
     """
     one, two = _buckets(F.col("__place"))
-    rows = rated.select("source", "size", "target", "__whole", one.alias("one"), two.alias("two"))
-    open_ = (rows.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("__whole")).alias("whole"))
-             .select(F.col("source").alias("s"), (F.col("target") - F.col("whole")).alias("need")))
-    coarse = rows.where("one is not null").groupBy("source", "one").agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("one"))
-    passed = coarse.withColumn("run", running).join(open_, F.col("source").eqNullSafe(F.col("s")))
-    # The first bucket whose running sum passes the need; if none does, all get their extra copy.
-    first = stored(passed.groupBy("s", "need").agg(
-        F.min(F.when(F.col("run") > F.col("need"), F.struct("one", (F.col("run") - F.col("size")).alias("before")))).alias("at"),
-        F.max("run").alias("all"))
-        .select("s", "need", F.coalesce("at.one", F.lit(BUCKETS)).alias("first"), F.coalesce("at.before", "all").alias("before")))
-    fine = (rows.join(bounded_broadcast(first), F.col("source").eqNullSafe(F.col("s")) & (F.col("one") == F.col("first")))
-            .groupBy("s", "two").agg(F.sum("size").alias("size"), F.first("need").alias("need"), F.first("before").alias("before")))
-    run = F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("two"))
-    best = (fine.withColumn("run", run).where(F.col("run") <= F.col("need")).groupBy(F.col("s").alias("b"))
-            .agg(F.max(F.struct("two", "run")).alias("last")))
-    return first.join(best, F.col("s").eqNullSafe(F.col("b")), "left").select(
-        "s", "first", F.coalesce("last.two", F.lit(-1)).alias("second"),
-        (F.col("need") - F.coalesce("last.run", "before")).alias("gap"), F.array().cast("array<bigint>").alias("fill"))
-
-
-def _gets_extra() -> Column:
-    one, two = _buckets(F.col("__place"))
-    return F.coalesce((one < F.col("first")) | ((one == F.col("first")) & (two <= F.col("second")))
-                      | F.array_contains("fill", F.col("doc_id")), F.lit(False))
-
-
-def filled(rated: DataFrame, limit: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """``limit`` with ``fill``: the largest documents, one a round, that still fit below the target."""
-    for _ in range(rounds):
-        open_ = rated.join(bounded_broadcast(limit), rated["source"].eqNullSafe(limit["s"]))
-        largest = (open_.where(F.col("__place").isNotNull() & (F.col("size") <= F.col("gap")) & ~_gets_extra())
-                   .groupBy(F.col("s").alias("g")).agg(F.max(F.struct("size", F.col("doc_id").cast("bigint").alias("id"))).alias("pick")))
-        limit = stored(limit.join(largest, F.col("s").eqNullSafe(F.col("g")), "left").select(
-            "s", "first", "second", (F.col("gap") - F.coalesce("pick.size", F.lit(0))).alias("gap"),
-            F.array_compact(F.concat("fill", F.array("pick.id"))).alias("fill")))
-    return limit
+    rows = left.select("s", "gap", "size", "weight", "__place", one.alias("one"), two.alias("two"))
+
+    def inside(found: DataFrame, *buckets: str) -> DataFrame:
+        at = found.where(F.col(buckets[-1]).isNotNull()).select(F.col("s").alias("t"), *[F.col(b).alias(f"at_{b}") for b in buckets], "before")
+        same = [rows[b] == at[f"at_{b}"] for b in buckets]
+        return rows.join(bounded_broadcast(at), [rows["s"].eqNullSafe(at["t"]), *same])
+
+    first = _passed(rows.withColumn("before", F.lit(0).cast("long")), "one")
+    second = _passed(inside(first, "one"), "two").join(first.select(F.col("s").alias("t"), "one"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    second = stored(second)
+    run = F.col("before") + F.sum("weight").over(Window.partitionBy("s").orderBy("__place", "size"))
+    last = (inside(second, "one", "two").withColumn("run", run).where("run <= gap").groupBy(F.col("s").alias("l"))
+            .agg(F.max(F.struct(F.col("__place").alias("place"), "size", "run")).alias("last")))
+    within = second.select(F.col("s").alias("w"), (F.col("one") / BUCKETS + F.col("two") / (BUCKETS * BUCKETS)).alias("place"),
+                           F.col("before").alias("run"))
+    ends = (first.join(within, F.col("s").eqNullSafe(F.col("w")), "left").join(last, F.col("s").eqNullSafe(F.col("l")), "left"))
+    return ends.select("s", (F.col("gap") - F.coalesce("last.run", "run", "before")).alias("rest"), F.array(F.struct(
+        "gap", F.coalesce("last.place", "place", F.lit(1.0)).alias("place"),
+        F.coalesce("last.size", F.lit(0)).cast("long").alias("size"))).alias("more"))
+
+
+def _greedy(key: tuple, units: pd.DataFrame) -> pd.DataFrame:
+    """The same cuts, one after the other, for the few units of one source."""
+    units = units.sort_values(["__place", "size"])
+    rest, found = int(units["gap"].iloc[0]), []
+    fresh = True
+    for place, size, weight in zip(units["__place"], units["size"], units["weight"], strict=True):
+        if weight <= rest:
+            if fresh:
+                found.append({"gap": rest})
+            found[-1] |= {"place": place, "size": size}
+            rest, fresh = rest - weight, False
+        else:
+            # What does not fit ends a cut unless it was too large when the cut began.
+            fresh = fresh or weight <= found[-1]["gap"]
+    return pd.DataFrame({"s": [key[0]], "rest": [rest], "more": [found]})
+
+
+def cuts(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per source s its cuts; and the units (source, __place, size) that are passed over although one row of them would fit.
+
+    Units are rows of one source, place and size: repeated rows get their extra copy together.
+    In the order of their places all units are taken that still fit below the target.  A cut takes
+    them up to the first that does not fit, and the next cut goes on with those that fit into the
+    gap it leaves.  Places are spread by a hash, so the gap shrinks fast; the loop ends when no unit fits.
+    """
+    units = stored(rated.where("__place is not null").groupBy("source", "__place", "size").agg(F.count("*").alias("n"))
+                   .withColumn("weight", F.col("n") * F.col("size")))
+    limit = stored(rated.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("__whole")).alias("whole")).select(
+        F.col("source").alias("s"), F.floor(F.col("target") - F.col("whole")).alias("gap"), F.array().cast(CUTS).alias("cuts")))
+    left = units
+    while True:
+        left = stored(left.join(bounded_broadcast(limit), F.col("source").eqNullSafe(F.col("s")))
+                      .where((F.col("weight") <= F.col("gap")) & ~_taken("weight")).select(*units.columns, "s", "gap")).drop("s")
+        each = stored(left.groupBy(F.col("source").alias("s")).agg((F.count("*") > FEW).alias("many")))
+        if each.isEmpty():
+            break
+        parts = left.join(bounded_broadcast(each), F.col("source").eqNullSafe(F.col("s")))
+        found = parts.where("not many").groupBy("s").applyInPandas(_greedy, limit.select("s", F.col("gap").alias("rest"), F.col("cuts").alias("more")).schema)
+        if not each.where("many").isEmpty():
+            found = found.unionByName(_prefix(parts.where("many")))
+        found = found.withColumnRenamed("s", "f")
+        limit = stored(limit.join(found, F.col("s").eqNullSafe(F.col("f")), "left").select(
+            "s", F.coalesce("rest", "gap").alias("gap"), F.concat("cuts", F.coalesce("more", F.array().cast(CUTS))).alias("cuts")))
+        left = left.drop("gap")
+    odd = units.where("n > 1").join(bounded_broadcast(limit), F.col("source").eqNullSafe(F.col("s")))
+    return limit, stored(odd.where(_taken("size") & ~_taken("weight")).select(
+        F.col("source").alias("__o"), F.col("__place").alias("__at"), F.col("size").alias("__n")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -169,7 +218,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
 
     Rates come from ``tilts``; each document gets the whole part of its rate as copies, and one
     more if the rest beats a hash of its doc_id by a margin that is set per source so that the
-    copies just stay below the target; the largest documents that still fit close the gap.  No randomness: reruns agree.
+    copies stay below the target; after the margin come all documents that still fit the gap,
+    until none does.  No randomness: reruns agree.
+
 
     Defined cases: a null or blank text has size 0 and no copy; a null source is a source, the
     last one; equal doc_ids share their hash, so repeated rows are treated alike; an empty table
@@ -179,10 +230,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     sizes = stored(plain.select("doc_id", "source", "size"))
     tilted = tilts(sizes, stored(targets(sizes, weights, max_copies)), max_copies)
     rated = _with_rates(sizes, tilted, max_copies)
-    limit = filled(rated, stored(cuts(rated)))
+    limit, odd = cuts(rated)
     every = _with_rates(plain, tilted, max_copies)
-    marked = every.join(bounded_broadcast(limit), every["source"].eqNullSafe(limit["s"]), "left")
-    return (marked.withColumn("copies", (F.col("__whole") + _gets_extra().cast("long")).cast("long"))
+    marked = every.join(bounded_broadcast(limit), every["source"].eqNullSafe(limit["s"]), "left").withColumn("__extra", _taken("size"))
+    if not odd.isEmpty():
+        same = F.col("source").eqNullSafe(F.col("__o")) & (F.col("__place") == F.col("__at")) & (F.col("size") == F.col("__n"))
+        marked = marked.join(bounded_broadcast(odd), same, "left").withColumn("__extra", F.col("__extra") & F.col("__at").isNull())
+    return (marked.withColumn("copies", (F.col("__whole") + F.col("__extra").cast("long")).cast("long"))
             .select(*without(docs, ADDED).columns, *ADDED))
 
 

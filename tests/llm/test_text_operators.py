@@ -193,6 +193,25 @@ def test_mixing_meets_targets(spark):
         assert abs(r.n - r.t) <= 0.002 * r.t
 
 
+@pytest.mark.parametrize("few", [mixing.FEW, 0])
+def test_mixing_fills_up_beside_long_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    docs = spark.range(24 * 300).selectExpr("id AS doc_id", "if(id % 24 = 23, null, concat('s', id % 24)) AS source",
+                                            "repeat('w ', cast(if(id < 24, 20000, 80 + (id * 37) % 21) AS int)) AS text")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0")).repartition(3)
+    marks = mixing.mix(docs).select("doc_id", "source", "target", "size", "copies").collect()
+    alike = {}
+    for r in marks:
+        alike.setdefault((r.doc_id, r.source), []).append(r)
+    assert all(len({r.copies for r in same}) == 1 for same in alike.values())
+    for source in {r.source for r in marks}:
+        rows = [r for r in marks if r.source == source]
+        gap = rows[0].target - sum(r.copies * r.size for r in rows)
+        least = min(r.copies for r in rows if r.size < 200)
+        free = [sum(r.size for r in same) for (_, s), same in alike.items() if s == source and same[0].size < 200 and same[0].copies == least]
+        assert 0 <= gap and (len({r.copies for r in rows if r.size < 200}) == 1 or gap < min(free))
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
