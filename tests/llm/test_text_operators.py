@@ -92,6 +92,17 @@ def test_checksums_and_context():
     assert kinds("call 020 7946 0958") == ["local_phone"] and kinds("id 020 7946 0958") == []
 
 
+def test_ibans_before_capitals_and_numbers():
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.find_all(t) if k == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for after in ("", " BIC COBADEFFXXX", " 12 Euro", " I am", " X", ", BIC", " " + british):
+        assert found(f"IBAN {german}{after}") == [german, *[british] * (british in after)]
+        assert found(f"A {british}{after}")[0] == british
+    assert found(f"AB12 {german} and {british}") == [german, british]
+    assert found(f"DE89 {german} x") == [german] and found(f"{german}12 Euro") == [] and found("DE88 3704 0044 0532 0130 00 BIC") == []
+    assert found("NO93 8601 1117 947 SWIFT and MT84 MALT 0110 0001 2345 MTLC AST0 01S BIC") == ["NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.default_paths()[1])
