@@ -292,14 +292,14 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Every byte goes that lies in a string of LENGTH bytes which also starts earlier: in a smaller
     doc_id, or before in the same text.  Texts are their UTF-8 bytes; matches never cross rows and
-    are judged on the input.  ``docs`` is read several times and must give its rows in the same
-    order each time, as tables do.
+    are judged on the input.  ``docs`` is read and numbered once.
 
     Defined cases: null and empty texts have no bytes; texts below LENGTH bytes are kept; null
     doc_ids come before all others; rows of one doc_id follow the order of the table, so of
     repeated rows the first stays; an empty table gives no row; other columns do not come along.
     """
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    # Numbered once: another reading of the same table may have other partitions and so other numbers.
+    numbered = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text")))
     occurrences = stored(numbered.where(F.octet_length("text") >= LENGTH).mapInArrow(
         _occurrences, "repeat boolean, seed bigint, context bigint, doc_id bigint, row bigint, at bigint, windows int"))
     single = occurrences.where("not repeat").drop("repeat")

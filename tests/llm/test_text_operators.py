@@ -250,6 +250,23 @@ def test_repeats(docs, spark, monkeypatch, hot):
     assert sorted(got, key=repr) == brute_repeats(texts_of(frame))
 
 
+def test_repeats_of_a_table_split_otherwise_each_time(spark, monkeypatch, tmp_path):
+    key, sizes, keep = "spark.sql.files.maxPartitionBytes", ["1m", "1k"] * 10, bwt_dedup.stored
+    rows = [(i, f"{i} {PASSAGE} {i % 3} " + "x" * i) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8, "doc_id").write.parquet(f"{tmp_path}/t")
+
+    def other_splits(df):
+        out = keep(df)
+        spark.conf.set(key, sizes.pop())
+        return out
+    monkeypatch.setattr(bwt_dedup, "stored", other_splits)
+    try:
+        got = bwt_dedup.drop_repeats(spark.read.parquet(f"{tmp_path}/t")).select("doc_id", F.sha2("kept", 256), "n_bytes", "n_removed", "n_spans").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(rows)
+
+
 def test_slices_of_a_long_text(monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SLICE", 500)
     parts = [p for held in bwt_dedup._slices([LONG.encode(), b"", b"y" * 101]) for p in held]
