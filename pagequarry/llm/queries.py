@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import (
-    adaptive_scan, bwt_dedup, chat_repair, line_dedup, mixing, packing, pii, pivot_search, prefix_trie, quality, simhash)
+    adaptive_scan, bwt_dedup, chat_repair, license_scan, line_dedup, mixing, packing, period_runs, pii, pivot_search, prefix_trie,
+    quality, simhash)
 from pagequarry.llm.common import table
 
 
@@ -66,9 +67,18 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return period_runs.digest(period_runs.periodic_runs(table(spark, folder, "documents").select("doc_id", "text"), cycles=True))
+
+
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_run_length_dedup, op3_pivot_search, op4_adaptive_scan, op5_simhash_near_dedup, op6_role_repair,
-    op7_line_dedup, op8_source_mixing, op9_concatenate_and_cut, op10_personal_data, op11_prefix_trie)}
+    op7_line_dedup, op8_source_mixing, op9_concatenate_and_cut, op10_personal_data, op11_prefix_trie, op12_period_runs,
+    op13_license_scan)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
