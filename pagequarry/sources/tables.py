@@ -40,10 +40,20 @@ class SourceTable:
         """Remove everything of the given databases (db): their folders go, no row is rewritten."""
         if not self.exists():
             return
-        known = self.read().select("db").distinct().join(dbs.select("db").distinct(), "db", "left_semi")
+        known = dbs.select(F.col("db").alias("_db")).distinct()
+        self._remove(self._folders(levels=2).join(known, F.col("db").eqNullSafe(F.col("_db")), "left_semi"))
+
+    def _folders(self, levels: int) -> DataFrame:
+        """db, bucket, folder: where the rows are, 1 level above their files (buckets) or 2 (databases).
+
+        The names come from the files themselves: Spark escapes what a folder name cannot hold.
+        """
+        return self._stored().select("db", "bucket", F.regexp_replace("_metadata.file_path", rf"(?:/[^/]*){{{levels}}}\z", "").alias("folder"))
+
+    def _remove(self, folders: DataFrame) -> None:
         jvm = self.spark._jvm
-        for row in known.collect():   # one name per database
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/db={row['db']}")
+        for row in folders.select("folder").distinct().collect():   # at most one row per database and bucket
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _stored(self) -> DataFrame:
@@ -74,15 +84,11 @@ class SourceTable:
             left = delete_source(old, sources)
         else:
             left = replace_source(old, self._placed(new_rows).select(*columns), sources)
-        # a bucket left without rows is emptied by an explicit marker-free overwrite below
-        emptied = touched.join(left.select("db", "bucket").distinct(), ["db", "bucket"], "left_anti")
-        gone = [(r["db"], r["bucket"]) for r in emptied.collect()]   # at most dbs x buckets rows
+        emptied = cut_lineage(touched.join(left.select("db", "bucket").distinct(), ["db", "bucket"], "left_anti"))
         (left.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("db", "bucket").parquet(self.path))
-        jvm = self.spark._jvm
-        for db, bucket in gone:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/db={db}/bucket={bucket}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        # a bucket left without rows is not part of the overwrite
+        self._remove(self._folders(levels=1).join(emptied, ["db", "bucket"], "left_semi"))
 
 
 class KnowledgeStore:
