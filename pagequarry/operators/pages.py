@@ -47,13 +47,13 @@ def finish(pages: DataFrame) -> DataFrame:
     return stamp(pages).withColumn("body", mk.with_citations(F.col("body"), F.col("sources")))
 
 
-def parse_pages(raw: DataFrame, text: str = "text") -> DataFrame:
-    """Page rows of Markdown files with a header: db, filename, text and is_insight in."""
+def parse_pages(raw: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Page rows of Markdown files with a header: db, filename, text and is_insight in, columns ``keep`` unchanged."""
     t = F.col(text)
     known = ["title", "type", "sources", "related", "key_terms", "created", "updated", "effective as of",
              "expires_after_days", "description", "part of", "tags", "resource", "timestamp", "confidence"]
     return raw.select(
-        "db", "filename", "is_insight", mk.header_value(t, "title").alias("title"),
+        *keep, "db", "filename", "is_insight", mk.header_value(t, "title").alias("title"),
         mk.header_value(t, "type").alias("type"), mk.header_list(t, "sources").alias("sources"),
         mk.header_list(t, "related").alias("related"), mk.header_list(t, "key_terms").alias("key_terms"),
         dt.iso_day(mk.header_value(t, "created")).alias("created"),
@@ -67,21 +67,26 @@ def parse_pages(raw: DataFrame, text: str = "text") -> DataFrame:
 
 def with_defaults(new_pages: DataFrame, source: Column, existing: DataFrame, today: Column) -> DataFrame:
     """Model-written pages made storable: defaults, their source listed, dead links dropped, key terms, key facts."""
-    plain = F.initcap(F.replace(F.replace("filename", F.lit(".md"), F.lit("")), F.lit("-"), F.lit(" ")))
-    filled = (new_pages.withColumn("title", F.coalesce("title", plain)).withColumn("type", mk.page_type(F.col("type")))
-              .withColumn("created", F.coalesce("created", today)).withColumn("updated", F.coalesce("updated", today))
-              .withColumn("confidence", F.coalesce("confidence", F.lit("low")))
-              .withColumn("sources", F.array_union(F.coalesce("sources", _strings()), F.array(source)))
-              .withColumn("key_terms", mk.page_key_terms(F.col("title"), F.col("body")))
-              .withColumn("body", mk.ensure_key_facts(F.col("title"), F.col("body"))))
-    each = filled.select("db", "filename", F.posexplode("related").alias("pos", "to"))
+    made = filled(new_pages, source, today)
+    each = made.select("db", "filename", F.posexplode("related").alias("pos", "to"))
     live = each.join(existing.select("db", F.col("filename").alias("to")), ["db", "to"], "left_semi")
     kept = live.groupBy("db", "filename").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda s: s["to"]).alias("related"))
-    return (filled.drop("related").join(kept, ["db", "filename"], "left")
+    return (made.drop("related").join(kept, ["db", "filename"], "left")
             .withColumn("related", F.coalesce("related", _strings())))
 
 
+def filled(new_pages: DataFrame, source: Column, today: Column) -> DataFrame:
+    """:func:`with_defaults` without the look at the links."""
+    plain = F.initcap(F.replace(F.replace("filename", F.lit(".md"), F.lit("")), F.lit("-"), F.lit(" ")))
+    return (new_pages.withColumn("title", F.coalesce("title", plain)).withColumn("type", mk.page_type(F.col("type"), F.col("filename")))
+            .withColumn("created", F.coalesce("created", today)).withColumn("updated", F.coalesce("updated", today))
+            .withColumn("confidence", F.coalesce("confidence", F.lit("low")))
+            .withColumn("sources", F.array_union(F.coalesce("sources", _strings()), F.array(source)))
+            .withColumn("key_terms", mk.page_key_terms(F.col("title"), F.col("body")))
+            .withColumn("body", mk.ensure_key_facts(F.col("title"), F.col("body"))))
+
+
 def upsert(pages: DataFrame, changed: DataFrame, keys: tuple[str, ...] = ("db", "filename")) -> DataFrame:
     """Rows of ``changed`` replace rows of equal key or are added."""
     return pages.join(changed.select(*keys), list(keys), "left_anti").unionByName(changed, allowMissingColumns=True)

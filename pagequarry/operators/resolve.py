@@ -182,29 +182,33 @@ def summary_plan(pages: DataFrame) -> DataFrame:
 
 # --- merging ----------------------------------------------------------------------------------
 
-def page_lines(pages: DataFrame, keys: list[str], text: str = "body") -> DataFrame:
-    """One row per non-blank line under its heading: section number, line number, heading, line."""
+def page_lines(pages: DataFrame, keys: list[str], text: str = "body", blanks: Column | None = None) -> DataFrame:
+    """One row per non-blank line under its heading: section number, line number, heading, line.
+
+    Rows for which ``blanks`` holds keep their blank lines.
+    """
     heading = rf"(?md)^#{{1,6}}[{tx.SPACE}].*$"
     mark = mk._MARK
     cut = F.split(F.regexp_replace(text, heading, mark + "$0"), mark, -1)
     sections = spread(pages).select(*keys, F.posexplode(cut).alias("section", "_s"))
+    keep = F.lit(False) if blanks is None else blanks
     named = sections.select(*keys, "section", "_s").withColumn(
         "heading", F.when(F.col("section") > 0, tx.strip(F.get(mk.split_lines(F.col("_s")), F.lit(0)))).otherwise(""))
     return (named.select(*keys, "section", "heading", F.posexplode(mk.split_lines(F.col("_s"))).alias("line_no", "line"))
-            .where((~tx.is_blank(F.col("line")) & ((F.col("section") == 0) | (F.col("line_no") > 0)))
+            .where(((~tx.is_blank(F.col("line")) | keep) & ((F.col("section") == 0) | (F.col("line_no") > 0)))
                    | ((F.col("section") > 0) & (F.col("line_no") == 0))))
 
 
-def merged_lines(members: DataFrame) -> DataFrame:
+def merged_lines(members: DataFrame, blanks: bool = False) -> DataFrame:
     """Union of the sections of a group of pages, as ordered rows; no fact is lost.
 
     ``members``: db, canonical, ord, body; ord 0 is the page the others are merged into.
     Sections of that page stay where they are; a heading it has more than once takes new lines
     at its last place.  A line of a later page is kept if no earlier section of the group has it;
     a section new to the group comes with all its lines.  Groups are never gathered: first occurrences
-    are minima, pre-aggregated before their shuffle.
+    are minima, pre-aggregated before their shuffle.  With ``blanks`` the first page keeps its blank lines.
     """
-    rows = page_lines(members, ["db", "canonical", "ord"])
+    rows = page_lines(members, ["db", "canonical", "ord"], blanks=F.col("ord") == 0 if blanks else None)
     group = ["db", "canonical"]
     at = F.struct("ord", "section")
     rows = rows.withColumn("at", at).withColumn("key", F.lower("heading")) \
