@@ -241,6 +241,21 @@ def json_rows(answer: Column, schema: str) -> Column:
     return F.from_json(F.when(bare.startswith("["), bare).otherwise(F.regexp_extract(bare, r"(?s)(\[.*\])", 1)), schema)
 
 
+def answer_list(answer: Column) -> Column:
+    """struct(entries: array<variant>, error): the JSON array in a model answer, with or without fence and words around it."""
+    trimmed = strip(F.coalesce(answer, F.lit("")))
+    opened = F.regexp_replace(trimmed, rf"\A```(?:json)?[{SPACE}]*", "")
+    bare = F.when(trimmed.startswith("```"), F.regexp_replace(opened, rf"[{SPACE}]*```[{SPACE}]*\z", "")).otherwise(trimmed)
+    cut = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    text = F.when(bare.startswith("[") | (cut == ""), bare).otherwise(cut)
+    value = F.try_parse_json(text)
+    entries = F.try_variant_get(value, "$", "array<variant>")
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(value.isNull(), F.struct(F.lit(None).cast("array<variant>").alias("entries"), F.lit("no JSON").alias("error"))) \
+        .when(~is_list, F.struct(F.lit(None).cast("array<variant>").alias("entries"), F.lit("no list").alias("error"))) \
+        .otherwise(F.struct(entries.alias("entries"), F.lit(None).cast("string").alias("error")))
+
+
 # --- numeric facts ----------------------------------------------------------------------------------
 
 _UNITS = "|".join(u for u in fv.FACT_UNITS if u != "%")

@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
+from pagequarry.functions import text as tx
 
 
 def matches(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """Hits that satisfy an expected token (query_id, token).
 
     A token is a chunk id, a source, or ``source#fragment`` with the fragment in the
-    anchor or heading path.
+    anchor or heading path: three equi-joins, one for each kind.
     """
-    frag = F.lower(F.trim(F.substring("token", F.locate("#", F.col("token")) + 1, F.length("token"))))
+    hash_at = F.locate("#", F.col("token"))
+    wanted = expected.select("query_id", "token", F.when(hash_at > 0, tx.strip(F.left("token", hash_at - 1))).alias("base"),
+                             F.lower(tx.strip(F.substring("token", hash_at + 1, F.length("token")))).alias("fragment"))
     hay = F.lower(F.concat_ws(" ", "anchor", F.array_join("heading_path", " ")))
-    is_hit = ((F.col("token") == F.col("chunk_id")) | (F.col("token") == F.col("source"))
-              | (F.col("token").contains("#") & (F.substring_index("token", "#", 1) == F.col("source")) & hay.contains(frag)))
-    return hits.join(expected, "query_id").where(is_hit)
+    by_id = hits.join(wanted.withColumnRenamed("token", "chunk_id"), ["query_id", "chunk_id"]).withColumn("token", F.col("chunk_id"))
+    by_source = hits.join(wanted.withColumnRenamed("token", "source"), ["query_id", "source"]).withColumn("token", F.col("source"))
+    by_section = hits.join(wanted.where("base IS NOT NULL").withColumnRenamed("base", "source"), ["query_id", "source"]).where(hay.contains(F.col("fragment")))
+    columns = [*hits.columns, "token"]
+    # A hit and a token meet in one row, whichever way they match.
+    return by_id.select(*columns).unionByName(by_source.select(*columns)).unionByName(by_section.select(*columns)).dropDuplicates(["query_id", "rank", "token"])
 
 
 def per_query(cases: DataFrame, hits: DataFrame, expected: DataFrame) -> DataFrame:

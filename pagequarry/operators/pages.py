@@ -14,6 +14,7 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import dates as dt
 from pagequarry.functions import markup as mk
 from pagequarry.functions import text as tx
+from pagequarry.session import cut_lineage
 
 
 def _strings() -> Column:
@@ -178,12 +179,12 @@ def stats(pages: DataFrame, sources: DataFrame) -> DataFrame:
         (F.coalesce("page_bytes", F.lit(0)) + F.coalesce("raw_bytes", F.lit(0))).alias("data_bytes")))
 
 
-def filed_answers(answers: DataFrame, today: Column) -> DataFrame:
-    """Insight pages of answered questions (db, question, answer, related)."""
+def filed_answers(answers: DataFrame, today: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Insight pages of answered questions (db, question, answer, related), columns ``keep`` unchanged."""
     slug = tx.slug(tx.strip(F.left("question", F.lit(80))))
     title = tx.strip(F.regexp_replace(tx.strip(F.col("question")), r"[?.!]+\z", ""))
     return answers.select(
-        "db", F.concat(F.lit("insight-"), F.when(slug == "", "insight").otherwise(slug), F.lit(".md")).alias("filename"),
+        *keep, "db", F.concat(F.lit("insight-"), F.when(slug == "", "insight").otherwise(slug), F.lit(".md")).alias("filename"),
         F.when(title == "", "Insight").otherwise(title).alias("title"), F.lit("comparison").alias("type"),
         F.array(F.lit("chat")).alias("sources"), F.coalesce("related", _strings()).alias("related"),
         today.alias("created"), today.alias("updated"), F.lit("medium").alias("confidence"), F.lit(True).alias("is_insight"),
@@ -226,6 +227,41 @@ def legacy_log(logs: DataFrame, text: str = "text") -> DataFrame:
     return logs.select("db", F.inline(F.transform(opens, entry)))
 
 
+def rewritten_log(lines: DataFrame) -> DataFrame:
+    """db, day_at, entry_at, line: flat logs (db, line_no, line) rewritten under day headings, as ordered rows.
+
+    Each heading line opens an entry, the lines up to the next one are its detail.  Days come
+    in the order of day_at, entries of a day in that of entry_at, both from large to small: the day and the entry that
+    came last stand first.  A log without any heading keeps its lines (day_at null, entry_at rising).
+
+    Logs of any length are read in one sorted exchange.  A partition looks for its headings by
+    itself; for the lines before its first one the last heading of the partitions before is carried
+    on, from one row per partition and log.
+    """
+    clean = lines.select("db", "line_no", tx.strip(F.col("line")).alias("line"))
+    opens = F.when(F.col("line").rlike(_LEGACY), F.col("line_no"))
+    placed = cut_lineage(clean.repartitionByRange("db", "line_no").sortWithinPartitions("db", "line_no")
+                         .select("*", opens.alias("opens"), F.spark_partition_id().alias("part")))
+    last = placed.groupBy("db", "part").agg(F.max("opens").alias("last"))
+    before = W.partitionBy("db").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select("db", "part", F.max("last").over(before).alias("carried"))
+    inside = W.partitionBy("db", "part").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    owned = (placed.withColumn("mine", F.max("opens").over(inside)).join(carried, ["db", "part"])
+             .withColumn("entry_at", F.coalesce("mine", "carried")))
+    head = owned.where("opens IS NOT NULL").select("db", "entry_at", *[F.regexp_extract("line", _LEGACY, n).alias(c) for n, c in
+                                                                      ((1, "day"), (2, "time"), (3, "action"))])
+    detail = (owned.where("opens IS NULL AND entry_at IS NOT NULL AND line <> ''").groupBy("db", "entry_at")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("detail")))
+    days = head.groupBy("db", "day").agg(F.min("entry_at").alias("day_at"))
+    told = tx.squeeze(F.col("detail"))
+    bullet = F.concat(F.lit("- "), "time", F.lit(" — "), "action", F.when(told != "", F.concat(F.lit(": "), told)).otherwise(""))
+    entries = head.join(days, ["db", "day"]).join(detail, ["db", "entry_at"], "left")
+    found = entries.select("db", "day_at", "entry_at", bullet.alias("line")).unionByName(
+        days.select("db", "day_at", F.lit((1 << 63) - 1).alias("entry_at"), F.concat(F.lit("## "), "day").alias("line")))
+    flat = placed.join(head.select("db").distinct(), "db", "left_anti")
+    return found.unionByName(flat.select("db", F.lit(None).cast("bigint").alias("day_at"), F.col("line_no").cast("bigint").alias("entry_at"), "line"))
+
+
 # --- source registry ----------------------------------------------------------------------------
 
 def register(incoming: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pagequarry import fixed_values as fv
+from pagequarry.functions import markup as mk
 from pagequarry.functions import text as tx
 from pagequarry.functions.words import explode_terms
-from pagequarry.session import spread
+from pagequarry.session import cut_lineage, spread
 
 
 def read_window(sources: DataFrame, offset: Column) -> DataFrame:
@@ -103,3 +104,22 @@ def generated_questions(targets: DataFrame, answers: DataFrame, k: int = fv.QUES
     kept = valid.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("db", "source", "chunk_id", "question")
     lonely = targets.where("rank = 1").join(kept.select("db", "source").distinct(), ["db", "source"], "left_anti")
     return kept.unionByName(lonely.select("db", "source", "chunk_id", tx.title_question(F.col("source")).alias("question")))
+
+
+def parsed_answers(answers: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answer_id, chunk_id, pos, question; answer_id, error): questions of model answers (answer_id, answer).
+
+    An answer that holds no JSON list is an error row and no failure.  Entries that are no objects, ask
+    about a chunk the answer was not given (answer_id, chunk_id) or hold no list of questions are left out.
+    """
+    read = cut_lineage(answers.select("answer_id", mk.answer_list(F.col("answer")).alias("r")).select(
+        "answer_id", F.col("r.error").alias("error"), F.transform("r.entries", lambda e: F.struct(
+            tx.strip(F.try_variant_get(e, "$.chunk_id", "string")).alias("chunk_id"),
+            F.try_variant_get(e, "$.questions", "array<variant>").alias("q"))).alias("entries")).select(
+        "answer_id", "error", F.transform("entries", lambda e: F.struct(e["chunk_id"].alias("chunk_id"), F.transform(
+            e["q"], lambda q: tx.strip(F.try_variant_get(q, "$", "string"))).alias("questions"))).alias("entries")))
+    each = read.select("answer_id", F.posexplode("entries").alias("entry", "e")).select(
+        "answer_id", "entry", "e.chunk_id", F.posexplode("e.questions").alias("n", "question"))
+    known = chunks.select("answer_id", "chunk_id").distinct()
+    found = each.where("question <> ''").join(known, ["answer_id", "chunk_id"])
+    return found.select("answer_id", "chunk_id", F.struct("entry", "n").alias("pos"), "question"), read.where("error IS NOT NULL").select("answer_id", "error")
