@@ -104,22 +104,61 @@ def web_pages(pages: DataFrame) -> DataFrame:
 # --- Word -----------------------------------------------------------------------------
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_WORD_PREFIX = {"heading1": "# ", "heading2": "## ", "heading3": "### "}
-
-
-def _run_text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_W}t"))
-
-
-def _paragraph_prefix(node) -> str:
-    style = node.find(f"{_W}pPr/{_W}pStyle")
-    name = "" if style is None else style.get(f"{_W}val", "").replace(" ", "").lower()
-    return next((p for key, p in _WORD_PREFIX.items() if name.startswith(key)),
-                "- " if "bullet" in name else "1. " if "number" in name else "")
-
-
-def _table_lines(node) -> list[str]:
-    rows = [[_run_text(cell).strip() for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
+_WORD_PREFIX = (("heading 1", "# "), ("heading 2", "## "), ("heading 3", "### "))
+_INLINE = {f"{_W}tab": "\t", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+
+
+class WordFile:
+    """The body of a Word file and the names of its styles; style ids depend on the language of the program, names do not."""
+
+    def __init__(self, content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            self.body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+            styles = ElementTree.fromstring(archive.read("word/styles.xml")) if "word/styles.xml" in archive.namelist() else ()
+        self.names = {s.get(f"{_W}styleId"): n.get(f"{_W}val", "") for s in styles for n in s.findall(f"{_W}name")}
+
+    def prefix(self, paragraph) -> str:
+        style = paragraph.find(f"{_W}pPr/{_W}pStyle")
+        key = "" if style is None else style.get(f"{_W}val", "")
+        name = self.names.get(key, key)
+        return next((p for head, p in _WORD_PREFIX if name.lower().startswith(head)),
+                    "- " if "Bullet" in name else "1. " if "Number" in name else "")
+
+
+def _run_text(run) -> str:
+    """Text, tabs and line breaks of a run; page and column breaks are no text."""
+    def one(node) -> str:
+        if node.tag == f"{_W}t":
+            return node.text or ""
+        if node.tag == f"{_W}br":
+            return "\n" if node.get(f"{_W}type", "textWrapping") == "textWrapping" else ""
+        return _INLINE.get(node.tag, "")
+    return "".join(one(node) for node in run)
+
+
+def _paragraph_text(paragraph) -> str:
+    """Runs of a paragraph, also those inside links."""
+    return "".join(_run_text(run) for child in paragraph for run in (
+        [child] if child.tag == f"{_W}r" else child.findall(f"{_W}r") if child.tag == f"{_W}hyperlink" else []))
+
+
+def _table_rows(table) -> list[list[str]]:
+    """Cell texts by row; a merged cell is repeated in every column and row it spans."""
+    rows: list[list[str]] = []
+    for tr in table.findall(f"{_W}tr"):
+        row: list[str] = []
+        for tc in tr.findall(f"{_W}tc"):
+            span, merge = tc.find(f"{_W}tcPr/{_W}gridSpan"), tc.find(f"{_W}tcPr/{_W}vMerge")
+            text = "\n".join(_paragraph_text(p) for p in tc.findall(f"{_W}p")).strip()
+            if merge is not None and merge.get(f"{_W}val", "continue") == "continue" and rows and len(row) < len(rows[-1]):
+                text = rows[-1][len(row)]
+            row += [text] * (1 if span is None else int(span.get(f"{_W}val", "1")))
+        rows.append(row)
+    return rows
+
+
+def _table_lines(table) -> list[str]:
+    rows = _table_rows(table)
     if rows:
         rows.insert(1, ["---"] * len(rows[0]))
     return ["| " + " | ".join(r) + " |" for r in rows]
@@ -127,12 +166,12 @@ def _table_lines(node) -> list[str]:
 
 def word_markdown(content: bytes) -> str:
     """Headings 1 to 3, bullets, numbers and tables of a Word file in document order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+    word = WordFile(content)
     blocks = []
-    for child in body:
-        if child.tag == f"{_W}p" and _run_text(child).strip():
-            blocks.append(_paragraph_prefix(child) + _run_text(child).strip())
+    for child in word.body:
+        if child.tag == f"{_W}p":
+            text = _paragraph_text(child).strip()
+            blocks.append(word.prefix(child) + text if text else "")
         elif child.tag == f"{_W}tbl":
             blocks.append("\n".join(_table_lines(child)))
     return "\n\n".join(b for b in blocks if b)
@@ -140,9 +179,7 @@ def word_markdown(content: bytes) -> str:
 
 def word_plain(content: bytes) -> str:
     """Paragraph texts only, one per line."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-    return "\n".join(_run_text(p) for p in body.findall(f"{_W}p"))
+    return "\n".join(_paragraph_text(p) for p in WordFile(content).body.findall(f"{_W}p"))
 
 
 # --- PDF and images --------------------------------------------------------------------
