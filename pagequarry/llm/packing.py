@@ -28,6 +28,7 @@ class ByteBPE:
     pattern, so a text is the sum of its space-separated pieces, and pieces repeat: they are
     encoded once and looked up after that.  Short pieces go to the rank table, long ones (where
     its merge loop would be quadratic) to the tokenizer library, which reads the same vocabulary.
+    Strings of its special tokens are cut out first, as the library does, and are one id each.
     """
 
     def __init__(self, ranks_path: str, tokenizer_path: str, pattern: str):
@@ -37,14 +38,20 @@ class ByteBPE:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._short = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._long = Tokenizer.from_file(tokenizer_path)
-        self._long.encode_special_tokens = True
         self._known: dict[str, bytes] = {}
+        self._special = {t.content: np.asarray([i], "<u4").tobytes() for i, t in self._long.get_added_tokens_decoder().items()}
+        self._cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(self._special, key=len, reverse=True)) + ")") if self._special else None
 
     def _ids(self, piece: str) -> bytes:
         ids = self._short(piece) if len(piece) <= LONG_PIECE else self._long.encode(piece, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        return b"".join(self._special.get(part) or self._plain(part) for part in self._cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         pieces = _LONE_SPACE.split(text) if _DOUBLE_BLANK.search(text) else text.split(" ")
         known, out, get = self._known, [self._ids(pieces[0])], self._known.get
         for piece in pieces[1:]:
@@ -100,7 +107,7 @@ def pack(docs: DataFrame, length: int = 1024, paths: tuple[str, str, str] | None
     is written once.  Second pass: the totals of the partitions (one row each, as many as the
     first pass had tasks, which bounds the broadcast) become offsets by a prefix sum, every
     document learns its place on the tape, and is cut where the tape crosses a multiple of
-    ``length``.  Only the last sequence is not full.  Strings of special tokens are ordinary text.
+    ``length``.  Only the last sequence is not full.
 
     Defined cases: a null or empty text is the end id alone; repeated rows and null ids are each
     packed by themselves; an empty table gives no piece; other columns do not come along.
