@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,18 @@ def without(df: DataFrame, names) -> DataFrame:
     """The frame without columns that an operator is about to write under the same name."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def shielded(*names: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Columns named like an operator's own (two underscores in front, or in ``names``) pass under other names and come back."""
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            mine = [c for c in docs.columns if c.startswith("__") or c.lower() in names]
+            if not mine:
+                return operator(docs, *args, **kwargs)
+            n = max(map(len, docs.columns))
+            away = {c: f"{'hidden':_<{n}}{i}" for i, c in enumerate(mine)}   # longer than any name there is
+            return operator(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()})
+        return run
+    return wrap

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import stored, without
+from pagequarry.llm.common import shielded, stored, without
 from pagequarry.session import bounded_broadcast
 
 MAX_COPIES = 3
@@ -213,6 +213,7 @@ def cuts(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("source").alias("__o"), F.col("__place").alias("__at"), F.col("size").alias("__n")))
 
 
+@shielded("mean", "tilt", "s", "gap", "cuts")
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``max_copies``).
 
@@ -240,6 +241,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
             .select(*without(docs, ADDED).columns, *ADDED))
 
 
+@shielded("mean", "tilt", "s", "gap", "cuts")
 def copied(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it has copies."""
     mixed = mix(docs, **options).where("copies > 0")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import stored, text_hash, without
+from pagequarry.llm.common import shielded, stored, text_hash, without
 from pagequarry.operators.resolve import components
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+@shielded()
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest doc_id, then text hash."""
     marked = docs.withColumn("__fp", fingerprints(F.col("text"))) \
