@@ -17,7 +17,7 @@ LONG = " ".join(f"word{i * i % 977}" for i in range(4000))
 PASSAGE = "".join(chr(97 + i * i % 23) for i in range(150))
 TEXTS = [None, "", " \n\t", "a", LONG, LONG, LONG.replace("word9", "word8", 3), PASSAGE + " x", "y " + PASSAGE, PASSAGE[:120] + "\n" + PASSAGE,
          "Shared line of more than twenty.\nown one", " shared LINE of more than twenty. ", "x\nShared line of more than twenty.\n\ny", "ééé " * 60,
-         "mail a.b@c.de or +44 20 7946 0958, card 4111 1111 1111 1111 ip 10.0.0.255", "x" * 3000, "aaaa@" * 30, "1" * 400, "\0 \x85"]
+         "one <|endoftext|> two<|endoftext|>", "mail a.b@c.de or +44 20 7946 0958, card 4111 1111 1111 1111 ip 10.0.0.255", "x" * 3000, "aaaa@" * 30, "1" * 400, "\0 \x85"]
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,9 @@ def test_empty_tables(docs):
     assert quality.classify(docs, machine).where("score BETWEEN 0 AND 1").count() == docs.count()
 
 
-def test_lines(docs):
+@pytest.mark.parametrize("hot", [line_dedup.HOT_LINES, 1])
+def test_lines(docs, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     blanks = " \t\n\x0b\x0c\r"
     rows = texts_of(docs)
     key = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(blanks))
@@ -106,7 +108,6 @@ def test_ibans_before_capitals_and_numbers():
 def test_packing(docs):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.default_paths()[1])
-    plain.encode_special_tokens = True
     rows = packing.pack(docs, length=64).collect()
     whole = {}
     for r in rows:
@@ -198,6 +199,18 @@ def test_mixing(docs):
     assert mixing.copied(docs).count() == sum(r.copies for r in rows)
 
 
+def test_clashing_names_come_back(docs):
+    """Columns named like the operators' own inner ones pass through every pipeline stage unchanged."""
+    names = ["__text", "__rate", "__lines", "__row", "__drop", "__fp", "__copy", "__place", "mean", "S", "gap", "line", "h1", "rows", "hot"]
+    clash = docs.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(f"keep {n} "), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(n) for n in names])
+    for operator in (line_dedup.drop_shared_lines, simhash.keep_first, mixing.mix, mixing.copied):
+        out = operator(clash)
+        assert out.columns[:len(clash.columns)] == clash.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"keep {n} {-1 if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    assert packing.pack(clash).count() > 0
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "repeat('w ', cast(1 + (id * 37) % 91 AS int)) AS text")
     for r in mixing.mix(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect():
