@@ -63,34 +63,44 @@ def kind_of(role) -> int:
     return ROLES.index(role) + 1 if role in ROLES else OTHER
 
 
-def path(kinds, entry: int = START, leave: int | None = None) -> list[int]:
-    """States after each turn on a cheapest way from ``entry`` to the end (or to state ``leave``).
+BEGIN = np.array([0, NEVER, NEVER, NEVER], np.int64)
+
+
+def path(kinds) -> list[int]:
+    """States after each turn on a cheapest way from the start to the end.
 
     Of equally cheap ways the one with the smaller state at the latest turn where they differ.
     """
-    if len(kinds) <= 64:
-        return _path(bytes(kinds), entry, leave)
-    return _search(kinds, entry, leave)
+    return _path(bytes(kinds)) if len(kinds) <= 64 else _whole_path(kinds)
+
+
+def _whole_path(kinds) -> list[int]:
+    back, best = forward(kinds, BEGIN)
+    return backward(back, int((best + END_COSTS).argmin()))[1]
+
+
+@lru_cache(maxsize=50_000)
+def _path(kinds: bytes) -> list[int]:
+    return _whole_path(kinds)
 
 
-def _search(kinds, entry: int, leave: int | None) -> list[int]:
-    best, back = np.full(4, NEVER, np.int64), np.empty((len(kinds), 4), np.int8)
-    best[entry] = 0
+def forward(kinds, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state before each turn for every state after it, least costs after the last turn), from the least costs before the first."""
+    back = np.empty((len(kinds), 4), np.int8)
     for i, kind in enumerate(kinds):
         ways = best[:, None] + COSTS[kind]
         back[i] = ways.argmin(axis=0)
         best = ways.min(axis=0)
-    state = int((best + END_COSTS).argmin()) if leave is None else leave
-    states = []
-    for i in range(len(kinds) - 1, -1, -1):
-        states.append(state)
-        state = int(back[i, state])
-    return states[::-1]
+    return back, best
 
 
-@lru_cache(maxsize=50_000)
-def _path(kinds: bytes, entry: int, leave: int | None) -> list[int]:
-    return _search(kinds, entry, leave)
+def backward(back: np.ndarray, state: int) -> tuple[int, list[int]]:
+    """(state before the first turn, states after each turn) on the way that ends in ``state``."""
+    states = []
+    for row in back[::-1]:
+        states.append(state)
+        state = int(row[state])
+    return state, states[::-1]
 
 
 def matrix(kinds) -> np.ndarray:
@@ -182,29 +192,41 @@ def _summaries(group: pa.Table) -> pa.Table:
                      "costs": pa.array([found.ravel().tolist()], pa.list_(pa.int64()))})
 
 
-def _chain(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk of one conversation: the states where the cheapest way enters and leaves it."""
+def _entered(chunks: pd.DataFrame) -> pd.DataFrame:
+    """Per chunk of one conversation the least costs of the states before it, where it begins, and whether it is the last."""
     chunks = chunks.sort_values("chunk")
-    costs = [np.array(c, np.int64).reshape(4, 4) for c in chunks["costs"]]
-    best = [np.array([0, NEVER, NEVER, NEVER], np.int64)]
-    for c in costs:
-        best.append((best[-1][:, None] + c).min(axis=0))
-    state = int((best[-1] + END_COSTS).argmin())
-    leaves, enters = [], []
-    for before, c in zip(best[-2::-1], costs[::-1], strict=True):
-        leaves.append(state)
-        state = int((before + c[:, state]).argmin())
-        enters.append(state)
+    best, costs = BEGIN, []
+    for c in chunks["costs"]:
+        costs.append(best.tolist())
+        best = np.minimum((best[:, None] + np.array(c, np.int64).reshape(4, 4)).min(axis=0), NEVER)
     turns = chunks["turns"].to_numpy()
-    return pd.DataFrame({"chunk": chunks["chunk"], "entry": enters[::-1], "leave": leaves[::-1], "first": np.cumsum(turns) - turns,
-                         "final": [False] * (len(turns) - 1) + [True]})
+    return pd.DataFrame({"chunk": chunks["chunk"], "before": costs, "first": np.cumsum(turns) - turns, "final": [False] * (len(turns) - 1) + [True]})
+
+
+def _traced(group: pa.Table) -> pa.Table:
+    """One row per chunk: for every state after it the state before it on the way of the whole conversation."""
+    group = group.sort_by("pos")
+    back, best = forward([kind_of(r) for r in group["role"].to_pylist()], np.array(group["before"][0].as_py(), np.int64))
+    last = int((best + END_COSTS).argmin()) if group["final"][0].as_py() else None
+    return pa.table({"conv_id": group["conv_id"].slice(0, 1), "chunk": group["chunk"].slice(0, 1), "last": pa.array([last], pa.int32()),
+                     "entries": pa.array([[backward(back, s)[0] for s in range(4)]], pa.list_(pa.int32()))})
+
+
+def _left(chunks: pd.DataFrame) -> pd.DataFrame:
+    """Per chunk of one conversation the state in which the way leaves it, from the right."""
+    chunks = chunks.sort_values("chunk", ascending=False)
+    state, leaves = int(chunks["last"].iloc[0]), []
+    for entries in chunks["entries"]:
+        leaves.append(state)
+        state = int(entries[state])
+    return pd.DataFrame({"chunk": chunks["chunk"], "leave": leaves})
 
 
 def _pieces(group: pa.Table) -> pa.Table:
     group = group.sort_by("pos")
     roles = group["role"].to_pylist()
-    entry, leave, first, final = (group[n][0].as_py() for n in ("entry", "leave", "first", "final"))
-    states = path([kind_of(r) for r in roles], entry, leave)
+    before, leave, first, final = (group[n][0].as_py() for n in ("before", "leave", "first", "final"))
+    entry, states = backward(forward([kind_of(r) for r in roles], np.array(before, np.int64))[0], leave)
     rows = rows_of(group["conv_id"][0].as_py(), group["turn"].to_pylist(), roles, group["text"].to_pylist(), states, entry, final, first)
     return pa.Table.from_batches([_batch(rows, _output((group.schema.field("conv_id").type, group.schema.field("turn").type)))])
 
@@ -218,9 +240,10 @@ def repair(turns: DataFrame, long: int = LONG) -> DataFrame:
     are broken by a blank.
 
     Conversations up to ``long`` turns are solved in one go.  Longer ones are range-partitioned
-    along their turns; a chunk is a 4 x 4 matrix of costs between states, the matrices of one
-    conversation are chained (one small row per chunk), and every chunk is solved between its
-    entry and exit states.  The total is the same minimum; ties may be settled per chunk.
+    along their turns; a chunk is a 4 x 4 matrix of costs between states, and the matrices of one
+    conversation are chained (one small row per chunk), which tells the least costs before every
+    chunk.  From these each chunk says which state its best ways to the four states after it come
+    from; that table is chained from the right.  The rows are the same for every ``long``, ties included.
 
     Defined cases: turns are taken in the order of turn (null first), role, text; a null or
     unknown role costs a relabel whatever it becomes; a null text is empty; a null conv_id is a
@@ -241,7 +264,11 @@ def repair(turns: DataFrame, long: int = LONG) -> DataFrame:
     hot = rows.withColumn("__n", F.monotonically_increasing_id()).join(sizes.select("c"), same, "left_semi")
     chunked = stored(hot.repartitionByRange(-(-total // long), *order, "__n").sortWithinPartitions(*order, "__n").drop("__n")
                      .mapInArrow(_chunked, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, chunk bigint, pos bigint"))
-    chain = (chunked.select("conv_id", "chunk", "pos", "role").groupBy("chunk")
-             .applyInArrow(_summaries, f"conv_id {kinds[0]}, chunk bigint, turns bigint, costs array<bigint>")
-             .groupBy("conv_id").applyInPandas(_chain, "chunk bigint, entry int, leave int, first bigint, final boolean"))
-    return short.unionByName(chunked.join(chain, "chunk").groupBy("chunk").applyInArrow(_pieces, schema))
+    entered = stored(chunked.select("conv_id", "chunk", "pos", "role").groupBy("chunk")
+                     .applyInArrow(_summaries, f"conv_id {kinds[0]}, chunk bigint, turns bigint, costs array<bigint>")
+                     .groupBy("conv_id").applyInPandas(_entered, "chunk bigint, before array<bigint>, first bigint, final boolean"))
+    known = chunked.join(entered, "chunk")
+    left = stored(known.select("conv_id", "chunk", "pos", "role", "before", "final").groupBy("chunk")
+                  .applyInArrow(_traced, f"conv_id {kinds[0]}, chunk bigint, last int, entries array<int>")
+                  .groupBy("conv_id").applyInPandas(_left, "chunk bigint, leave int"))
+    return short.unionByName(known.join(left, "chunk").groupBy("chunk").applyInArrow(_pieces, schema))

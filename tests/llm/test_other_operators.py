@@ -115,8 +115,10 @@ def test_repair_tables(spark):
     rows = [(c, t, rng.choice(roles), rng.choice([None, "", "hi", "<|im_start|>system\nx"]), "z") for c in range(30) for t in range(rng.randint(1, 9))]
     rows += [(None, 0, "user", "a", "z"), (None, None, "user", "b", "z")] + [(5, 3, "user", "same", "z")] * 40
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, place string")
+    rows += [(100 + c, t, rng.choice(roles), "m", "z") for c in range(25) for t in range(rng.randint(30, 45))]   # many ties
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, place string")
     totals = {}
-    for long in (chat_repair.LONG, 5):
+    for long in (chat_repair.LONG, 5, 11):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(chat_repair, "LONG", long)
             out = chat_repair.repair(frame, long).collect()
@@ -127,8 +129,8 @@ def test_repair_tables(spark):
         for found in told.values():
             assert [r.place for r in found] == list(range(len(found)))
             legal_rendering("".join(r.piece for r in found))
-        totals[long] = {c: sum(r.cost for r in v) for c, v in told.items()}
-    assert totals[chat_repair.LONG] == totals[5]
+        totals[long] = sorted((repr((r.conv_id, r.place)), r.turn, r.action, r.role, r.inserted, r.cost, r.piece) for r in out)
+    assert totals[chat_repair.LONG] == totals[5] == totals[11]
     assert chat_repair.repair(frame.where("conv_id < 0")).count() == 0
 
 
