@@ -13,53 +13,125 @@ SCHEMA = "vec_id bigint, embedding array<float>, label int, score string"
 
 @pytest.fixture(scope="module")
 def vectors(spark):
+    """Rows and what takes part: (vec_id, vector) once each, by vector length."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 12)).round(2)
     x[200:420] = x[200]
+    x[500:600] = x[510] + rng.normal(size=(100, 12)) / 50
     rows = [(i, v.tolist(), None, "s") for i, v in enumerate(x)] + [(3, x[3].tolist(), 1, "s")] * 3
+    rows += [(40, x[7].tolist(), 1, "s"), (11, (-x[7]).tolist(), 1, "s")]   # other vectors of known ids, one of them a query
+    rows += [(i, rng.normal(size=5).tolist(), 1, "s") for i in range(2000, 2060)]
     odd = [(1000, None, 1, "s"), (1020, [1.0] * 11 + [None], 1, "s"), (1040, [float("nan")] * 12, 1, "s"), (1060, [float("inf")] * 12, 1, "s"),
-           (1080, [], 1, "s"), (1100, [1.0, 2.0], 1, "s"), (None, x[0].tolist(), 1, "s"), (1120, [0.0] * 12, 1, "s")]
-    return spark.createDataFrame(rows + odd, SCHEMA), {i: np.array(v, np.float32).astype(float) for i, v in enumerate(x)} | {1120: np.zeros(12)}
+           (1080, [], 1, "s"), (1101, [1.0, 2.0], 1, "s"), (None, x[0].tolist(), 1, "s"), (1120, [0.0] * 12, 1, "s")]
+    return spark.createDataFrame(rows + odd, SCHEMA), {(i, tuple(np.array(v, np.float32).astype(float))) for i, v, *_ in rows + [odd[-1], odd[5]]}
 
 
-def brute(points, k=20):
-    ids = np.array(sorted(points))
-    x = np.array([points[i] for i in ids])
+def brute(points, k=20, change=lambda v: v):
+    points = sorted({(i, tuple(change(np.array(v)))) for i, v in points})
     out = {}
-    for q in ids[ids % 20 == 0]:
-        s = x @ points[q]
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
-        out[q] = [(int(ids[i]), s[i]) for i in order]
+    for i, q in points:
+        if i % 20 == 0:
+            others = [(j, v) for j, v in points if len(v) == len(q) and (j, v) != (i, q)]
+            s = np.array([v for _, v in others]).reshape(len(others), len(q)) @ np.array(q)
+            order = np.lexsort(([j for j, _ in others], -s))[:k]
+            out.setdefault(i, []).append([(others[o][0], s[o]) for o in order])
     return out
 
 
 def by_query(rows):
+    """Per query id the rank lists of its vectors; several vectors of one id are told apart by nothing but their rows."""
     out = {}
-    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
-        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r["rank"] == len(out[r.query_id])
-    return out
+    for r in rows:
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(v) for q, v in out.items()}
+
+
+def ranked(found):
+    return {q: sorted((n + 1, i, s) for hits in lists for n, (i, s) in enumerate(hits)) for q, lists in found.items() if any(lists)}
 
 
 @pytest.mark.parametrize("block", [pivot_search.BLOCK, 60])
 def test_exact_search(vectors, monkeypatch, block):
     monkeypatch.setattr(pivot_search, "BLOCK", block)
-    monkeypatch.setattr(pivot_search, "CHUNK", 24)
     frame, points = vectors
-    want = brute({i: np.floor(64 * v) for i, v in points.items()})
-    assert by_query(pivot_search.top_k(frame).collect()) == want
+    assert by_query(pivot_search.top_k(frame).collect()) == ranked(brute(points, change=lambda v: np.floor(64 * v)))
+
+
+def test_exact_search_skips_far_blocks(spark):
+    """On vectors in groups most blocks are not visited, and the result is still exact."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] * 20 + rng.normal(size=(3000, 8))).round(2)
+    pivots = pivot_search.choose_pivots(pivot_search.lifted(x, (x * x).sum(axis=1).max()), 16)
+    table = pivot_search.distances(pivot_search.lifted(x, (x * x).sum(axis=1).max()), pivots)
+    seen, uids = 0, np.arange(3000)
+    for q in range(0, 3000, 100):
+        reach = (x * x).sum(axis=1).max()
+        counted = []
+
+        class Counting(np.ndarray):
+            def __getitem__(self, key):
+                if isinstance(key, np.ndarray):
+                    counted.append(len(key))
+                return np.asarray(self)[key]
+        found, values = pivot_search.search_block(uids, uids, x.view(Counting), table, x[q], q, x[q] @ x[q],
+                                                  pivot_search.distances(pivot_search.as_queries(x[q:q + 1]), pivots)[0], reach, 20)
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert found.tolist() == np.lexsort((uids, -scores))[:20].tolist()
+        seen += sum(counted)
+    assert seen < 0.6 * 30 * 3000
+
+
+@pytest.mark.parametrize("size", [200_000, 3_000_000, 2 ** 31])
+def test_exact_search_of_large_vectors(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(c) / 64 for c in rng.integers(-size * 64, size * 64, 6)]) for i in range(120)]
+    whole = {i: [int(c * 64) for c in v] for i, v in rows}
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    if size == 2 ** 31:
+        with pytest.raises(Exception, match="OverflowError|too large"):
+            pivot_search.top_k(frame).collect()
+        return
+    got = by_query(pivot_search.top_k(frame).collect())
+    for q in range(0, 120, 20):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q))[:20]
+        assert got[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
 
 
 def test_adaptive_scan(vectors, monkeypatch):
-    monkeypatch.setattr(adaptive_scan, "ROWS_PER_LIST", 50)
     monkeypatch.setattr(adaptive_scan, "CHUNK", 40)
     frame, points = vectors
-    want, got = brute({i: v for i, v in points.items() if v.any()}), by_query(adaptive_scan.nearest(frame).collect())
-    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
-    # Equal vectors tie, so what counts is how many results reach the true 20th score.
-    hit = sum(s >= want[q][-1][1] - 1e-9 for q, v in got.items() for _, s in v)
-    assert hit >= 0.9 * 20 * len(want)
-    assert all(s == pytest.approx(points[q] @ points[i]) for q, v in got.items() for i, s in v)
+    want = brute({(i, v) for i, v in points if any(v)})
+    got = by_query(adaptive_scan.nearest(frame).collect())
+    assert set(got) == set(ranked(want))
+    hit = total = 0
+    for q, lists in want.items():
+        assert len(got[q]) == sum(map(len, lists))
+        # Equal vectors tie, so what counts is how many results reach the true last score of some vector of the query.
+        least = min(hits[-1][1] for hits in lists)
+        hit += sum(s >= least - 1e-9 for _, _, s in got[q])
+        total += len(got[q])
+        if len(lists) == 1:
+            mine = [np.array(v) for i, v in points if i == q]
+            for _, i, s in got[q]:
+                assert any(s == pytest.approx(m @ np.array(v)) for m in mine for j, v in points if j == i and len(v) == len(m))
+    assert hit >= 0.9 * total
+
+
+def test_adaptive_scan_probes_a_part(spark):
+    """On many vectors a query looks at less than a third of the rows and finds nine of ten neighbours."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 24))
+    x = base[rng.integers(0, 300, 12_000)] + rng.normal(size=(12_000, 24)) / 2
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    index = adaptive_scan.fit(x[rng.permutation(len(x))[:4096]], float((x * x).sum(axis=1).max()), len(x), 20)
+    assert len(index.centroids) >= 100 and index.probes < len(index.centroids) / 3
+    got, hit = by_query(adaptive_scan.nearest(frame, step=200).collect()), 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len({i for _, i, _ in found} & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 60 and hit >= 0.9 * 20 * 60
 
 
 def test_small_and_empty_searches(vectors):
