@@ -16,8 +16,8 @@ from pagequarry.llm.vectors import QUERY_STEP, best, by_length, cut, matrix, pac
 SCALE, PIVOTS, PIVOT_SAMPLE = 64, 64, 2000
 BLOCK, CHUNK = 4096, 512
 HITS = "uid bigint, query_id bigint, vec_id bigint, score bigint"
-BLOCKS = ("c bigint, uids binary, ids binary, x binary, `table` binary, low array<double>, high array<double>, queries binary, least binary, "
-          "query_low array<double>, query_high array<double>, floor double, longest double, found binary")
+BLOCKS = ("c bigint, uids binary, ids binary, x binary, `table` binary, low array<double>, high array<double>, own_uids binary, own_ids binary, own_x binary, "
+          "least binary, query_low array<double>, query_high array<double>, floor double, longest double, found binary")
 _HIT = np.dtype([("uid", "<i8"), ("query_id", "<i8"), ("vec_id", "<i8"), ("score", "<i8")])
 
 
@@ -122,11 +122,11 @@ def _blocks(pivots: np.ndarray, reach: float, k: int, step: int, size: int):
         least = np.array([float(h[1][-1]) if len(h[1]) == k else -np.inf for h in hits])
         found = np.array([(uids[a], ids[a], i, int(s)) for a, h in zip(asked, hits, strict=True) for i, s in zip(*h, strict=True)], _HIT)
         ends = lambda t: [t.min(axis=0).astype(float).tolist(), t.max(axis=0).astype(float).tolist()] if len(t) else [None, None]
-        return [c, packed(uids), packed(ids), packed(x), packed(table), *ends(table), packed(asked.astype(np.int64)), packed(least), *ends(to_pivots),
+        return [c, packed(uids), packed(ids), packed(x), packed(table), *ends(table), packed(uids[asked]), packed(ids[asked]), packed(x[asked]), packed(least), *ends(to_pivots),
                 float(least.min()) if len(least) else None, float(longest.max()) if len(longest) else None, packed(found)]
 
-    kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 2, *[pa.list_(pa.float64())] * 2, pa.float64(), pa.float64(), pa.binary()]
-    names = ["c", "uids", "ids", "x", "table", "low", "high", "queries", "least", "query_low", "query_high", "floor", "longest", "found"]
+    kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, pa.float64(), pa.float64(), pa.binary()]
+    names = ["c", "uids", "ids", "x", "table", "low", "high", "own_uids", "own_ids", "own_x", "least", "query_low", "query_high", "floor", "longest", "found"]
 
     def out(uids, ids, x, c):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block(uids, ids, x, c), kinds, strict=True)], names)
@@ -153,20 +153,28 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(dim: int, pivots: np.ndarray, reach: float, k: int):
+    """Rows by block: first the block itself, then the queries that visit it, of which one pack is held at a time."""
+    kinds = (np.int64, np.int64, np.float64, np.float32, np.int64, np.int64, np.float64, np.float64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
+            rows = []
             for row in range(len(batch)):
-                uids, ids, x, table, own_uids, own_ids, own_x, asked, least = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate(
-                    (np.int64, np.int64, np.float64, np.float32, np.int64, np.int64, np.float64, np.int64, np.float64)))
-                x, mine = x.reshape(-1, dim), own_x.reshape(-1, dim)[asked]
+                data = [np.frombuffer(v.as_buffer(), t) if (v := batch.column(i)[row]).is_valid else None for i, t in enumerate(kinds)]
+                if data[0] is not None:
+                    held = [d.copy() for d in data[:4]]   # outlives its batch
+                    continue
+                uids, ids, x, table = held
+                own_uids, own_ids, own_x, least = data[4:]
+                mine = own_x.reshape(-1, dim)
                 to_pivots, longest = distances(as_queries(mine), pivots), (mine ** 2).sum(axis=1)
-                points, queries = exact(x, mine)
-                rows = []
-                for q, a in enumerate(asked):
-                    hit = search_block(uids, ids, points, table.reshape(len(ids), -1), queries[q], own_uids[a], longest[q], to_pivots[q], reach, k, least[q])
-                    rows += [(own_uids[a], own_ids[a], i, int(s)) for i, s in zip(*hit, strict=True)]
-                told = np.array(rows, _HIT)
-                yield pa.RecordBatch.from_arrays([pa.array(told[n].copy()) for n in _HIT.names], list(_HIT.names))
+                points, queries = exact(x.reshape(-1, dim), mine)
+                for q in range(len(own_uids)):
+                    hit = search_block(uids, ids, points, table.reshape(len(ids), -1), queries[q], own_uids[q], longest[q], to_pivots[q], reach, k, least[q])
+                    rows += [(own_uids[q], own_ids[q], i, int(s)) for i, s in zip(*hit, strict=True)]
+            told = np.array(rows, _HIT)
+            yield pa.RecordBatch.from_arrays([pa.array(told[n].copy()) for n in _HIT.names], list(_HIT.names))
     return run
 
 
@@ -187,13 +195,14 @@ def _top_k(rows: DataFrame, n: int, reach: float, dim: int, k: int, step: int) -
                     .mapInArrow(_blocks(pivots, reach, k, step, BLOCK), BLOCKS))
     hits = blocks.select("found").mapInArrow(_told, HITS)
     # Every query block against every block, as small rows of ranges; only pairs that can meet travel with their vectors.
-    asking = blocks.where(F.octet_length("queries") > 0).select(F.col("c").alias("q"), "query_low", "query_high", "floor", "longest")
-    pairs = (asking.withColumn("one", F.lit(1)).join(blocks.select("c", "low", "high").withColumn("one", F.lit(1)), "one")
-             .where((F.col("q") != F.col("c")) & _can_meet(reach)).select("q", "c"))
-    queries = blocks.select(F.col("c").alias("q"), F.col("uids").alias("own_uids"), F.col("ids").alias("own_ids"), F.col("x").alias("own_x"), "queries", "least")
-    met = pairs.join(blocks.select("c", "uids", "ids", "x", "table"), "c").join(queries, "q")
-    return hits.unionByName(met.select("uids", "ids", "x", "table", "own_uids", "own_ids", "own_x", "queries", "least").mapInArrow(
-        _search(dim, pivots, reach, k), HITS))
+    asking = blocks.where(F.octet_length("own_ids") > 0).select(F.col("c").alias("q"), "query_low", "query_high", "floor", "longest")
+    pairs = stored(asking.withColumn("one", F.lit(1)).join(blocks.select("c", "low", "high").withColumn("one", F.lit(1)), "one")
+                   .where((F.col("q") != F.col("c")) & _can_meet(reach)).select("q", "c"))
+    # A block goes to one task, once, and the queries that visit it, a twentieth of their blocks, come to it.
+    visited = blocks.join(pairs.select("c").distinct(), "c", "left_semi").select("c", F.lit(None).cast("bigint").alias("q"), "uids", "ids", "x", "table")
+    visits = pairs.join(blocks.select(F.col("c").alias("q"), "own_uids", "own_ids", "own_x", "least"), "q")
+    met = visited.unionByName(visits, allowMissingColumns=True).repartition(max(1, -(-n // BLOCK)), "c").sortWithinPartitions("c", F.asc_nulls_first("q"))
+    return hits.unionByName(met.select("uids", "ids", "x", "table", "own_uids", "own_ids", "own_x", "least").mapInArrow(_search(dim, pivots, reach, k), HITS))
 
 
 def top_k(table: DataFrame, vector: str = "embedding", k: int = 20, step: int = QUERY_STEP, scale: int = SCALE) -> DataFrame:
