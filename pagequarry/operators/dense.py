@@ -34,7 +34,7 @@ def letter_model(text: Column) -> Column:
 
 
 def batched_model(embed: Callable[[list[str]], list[list[float]]],
-                  overflow: tuple[str, ...] = ("too long", "context length", "maximum context")) -> Model:
+                  overflow: tuple[str, ...] = ("context length", "exceeds", "too large", "too long")) -> Model:
     """Wrap a batch function whose model refuses long input.
 
     An error whose text has one of the ``overflow`` phrases means the input was too long.  The

@@ -11,6 +11,8 @@ from pagequarry.operators import dense, lexical, reading
 from pagequarry.plans import inputs as src
 from pagequarry.plans.search_queries import query as _query
 from pagequarry.session import shared_folder
+from pagequarry.sources.cascade import delete_everywhere
+from pagequarry.sources.snapshots import SnapshotTable
 from pagequarry.sources.tables import KnowledgeStore
 
 QUERIES: dict = {}
@@ -165,3 +167,36 @@ def allowed_databases(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("nation-3"), name(n + 1), F.lit("nation-77"))).otherwise(
             F.array(F.lit("nation-77"))).alias("chosen"))
     return users.select("c_custkey", F.array_join(reading.search_scope(F.col("chosen"), F.col("allowed"), F.lit("active")), ",").alias("dbs"))
+
+
+@query("""WITH gone AS (SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > 2500), d AS (SELECT *, source IN (SELECT source FROM gone) AS g FROM documents),
+ hit AS (SELECT doc_id, lang, EXISTS (SELECT 1 FROM gone WHERE starts_with(d.source || '.md', gone.source)) AS p FROM d), rm AS (SELECT doc_id FROM hit WHERE p AND lang = 'en'),
+ c AS (SELECT 'chunks' AS "table", CAST(doc_id AS VARCHAR) AS key FROM d WHERE NOT g UNION ALL SELECT 'questions', 'why ' || doc_id FROM d WHERE NOT g AND lang = 'de'
+  UNION ALL SELECT DISTINCT 'manifest', source || '/' || copy FROM d, (SELECT unnest(['a', 'b']) AS copy) WHERE NOT g OR copy = 'b'
+  UNION ALL SELECT 'pages', 'page-' || doc_id || '.md/' || CASE WHEN doc_id + 1 IN (SELECT doc_id FROM rm) THEN 0 ELSE 1 END FROM hit WHERE doc_id NOT IN (SELECT doc_id FROM rm)),
+ n AS (SELECT 'chunks' AS t, count(*) AS n FROM d WHERE g UNION ALL SELECT 'questions', count(*) FROM d WHERE g AND lang = 'de' UNION ALL SELECT 'manifest', count(*) FROM gone UNION ALL SELECT 'pages', count(*) FROM rm)
+SELECT "table", key, 0 AS removed FROM c UNION ALL SELECT t, NULL, n FROM n WHERE n > 0""")
+def cascade_all_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources leave the manifest, the chunks and all that is built on them, the questions and the pages; what is left, and the counts."""
+    d, folder = src.table(spark, sf, "documents"), f"{shared_folder(spark)}/cascade-{uuid.uuid4().hex}"
+    day = F.to_date(F.lit("2024-01-01"))
+    store = KnowledgeStore(spark, f"{folder}/store", BUCKETS)
+    store.build(d.select(F.lit("src").alias("db"), F.lit("raw").alias("scope"), "source", F.col("doc_id").cast("int").alias("seq"),
+                         F.col("doc_id").cast("string").alias("chunk_id"), "text"))
+    store.add_questions(d.where("lang = 'de'").select(F.lit("src").alias("db"), "source", F.col("doc_id").cast("string").alias("chunk_id"),
+                                                      F.concat(F.lit("why "), "doc_id").alias("question")))
+    manifest = SnapshotTable(spark, f"{folder}/manifest", ("db", "filename", "sha256"), buckets=4)
+    manifest.write(d.select("source").distinct().select(F.lit("src").alias("db"), F.col("source").alias("filename"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("sha256")))
+    pages = SnapshotTable(spark, f"{folder}/pages", ("db", "filename"), buckets=4)
+    own = F.concat(F.lit("own-"), "doc_id", F.lit(".txt"))
+    pages.write(d.select(F.lit("src").alias("db"), F.concat(F.lit("page-"), "doc_id", F.lit(".md")).alias("filename"),
+                         F.when(F.col("lang") == "en", F.array(F.concat("source", F.lit(".md")))).otherwise(F.array(F.concat("source", F.lit(".md")), own)).alias("sources"),
+                         F.array(F.concat(F.lit("page-"), F.col("doc_id") + 1, F.lit(".md"))).alias("related"), day.alias("updated")))
+    gone = d.groupBy("source").agg(F.avg("n_chars").alias("n")).where("n > 2500").select(F.lit("src").alias("db"), "source")
+    counts = delete_everywhere(gone, store, manifest, pages, F.to_date(F.lit("2030-01-01")))
+    left = (store.chunks.read().select(F.lit("chunks").alias("table"), F.col("chunk_id").alias("key"))
+            .unionByName(store.questions.read().select(F.lit("questions").alias("table"), F.col("question").alias("key")))
+            .unionByName(manifest.read().select(F.lit("manifest").alias("table"), F.concat_ws("/", "filename", "sha256").alias("key")))
+            .unionByName(pages.read().select(F.lit("pages").alias("table"), F.concat("filename", F.lit("/"), F.size("related")).alias("key"))))
+    told = counts.where(F.col("table").isin("chunks", "questions", "manifest", "pages"))
+    return left.select("table", "key", F.lit(0).cast("long").alias("removed")).unionByName(told.select("table", F.lit(None).cast("string").alias("key"), "removed"))
