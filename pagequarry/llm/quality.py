@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", extra: str
               .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample))
     texts = docs.select("doc_id", "text", _number(docs, extra).alias("extra")).where("text is not null")
     # At most ``sample`` rows of an id and a number: a bounded broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", "text", "extra")
+    # Of several rows of one id the smallest text counts, whatever the order they are read in.
+    rows = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "extra")).alias("t"))
+            .orderBy("doc_id").select("label", "t.text", "t.extra"))
     found = rows.mapInArrow(_vectors, "label int, index binary, value binary").toArrow()
     vectors = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32))
                for i, v in zip(found["index"], found["value"], strict=True)]
