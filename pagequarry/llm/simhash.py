@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.llm.common import shielded, stored, text_hash, without
-from pagequarry.operators.resolve import components
+from pagequarry.llm.components import components
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 # At most four differing bits leave at least four of the eight bytes equal in place.

@@ -206,6 +206,28 @@ def test_repair_tables(spark):
     assert chat_repair.repair(frame.where("conv_id < 0")).count() == 0
 
 
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, copies, and an empty table go through every stage."""
+    import corpus_pipeline
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `__text` string, size string"
+    long = " ".join(f"word{i % 3001}" for i in range(60_000))
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", None if i % 4 else len(t or ""), "kept", "z") for i, t in enumerate(
+        [None, "", " ", long, long, "a line that is shared by many texts\nown", "a line that is shared by many texts\nother", "a line that is shared by many texts", "x"] * 3)]
+    rows += [rows[5], (None, "no number", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 27, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.stored(stage(spark, frame, str(tmp_path)))
+            if name != "packing":
+                assert out.columns == frame.columns
+                assert out.where("doc_id IS NOT NULL AND `__text` IS NULL").count() == 0
+            # each stage also takes what its predecessor kept
+            docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+            assert docs.count() <= 3 * frame.count() if name != "packing" else True
+        assert (docs.count() > 0) == (frame.count() > 0)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"

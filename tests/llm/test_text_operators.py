@@ -306,6 +306,33 @@ def test_quality_learns_and_holds_out(spark):
     assert held.where("predicted = quality").count() >= 0.98 * held.count()
 
 
+def test_held_out_labels_and_row_order_do_not_change_the_fit(spark):
+    rows = [(i, ("BUY!!! NOW!!! " if i % 4 == 0 else "plain words of a text ") * (1 + i % 9), 10) for i in range(240)]
+    rows += [(i, "another text of the same number", 3) for i in range(0, 240, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = docs.select("doc_id").distinct().selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS quality")
+    first = quality.train(docs.repartition(3), labels, sample=200)
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    second = quality.train(docs.orderBy(F.desc("text")).repartition(7), flipped, sample=200)
+    assert first.bias == second.bias and (first.weights == second.weights).all() and (first.factors == second.factors).all()
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_components(spark, kind):
+    from pagequarry.llm.components import components
+    rng = np.random.default_rng(7)
+    order = rng.permutation(60).tolist()
+    links = {"chain": list(zip(order, order[1:])), "star": [(50, i) for i in range(50)],  # noqa: B905
+             "random": [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))], "none": [(3, 3)]}[kind]
+    root = {n: n for link in links for n in link if link[0] != link[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == root
+
+
 def test_machine_identity():
     rng = np.random.default_rng(1)
     machine = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
