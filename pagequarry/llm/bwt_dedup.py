@@ -4,11 +4,18 @@ Equal strings of LENGTH bytes choose the same anchor (the smallest hash of SEED_
 them), so every window, i.e. string of LENGTH bytes, belongs to one anchor and meets its equals
 in the bucket of that anchor.  Buckets of one entry, and entries that are equal all through, are
 settled by counting.  What is left are different contexts round the same anchor, where a repeat
-begins or ends: these short, highly repetitive texts go into run-length indexes, one per shard.
+begins or ends: these short, highly repetitive texts are dealt to shards.  A shard indexes the
+earlier contexts of its buckets and streams the later ones through the run-compressed transform,
+right to left; a window whose matching statistic reaches LENGTH starts earlier too.
+
+A bucket of more than HOT contexts is dealt again by longer anchors: the bytes that BLOCK
+neighbouring windows have in common.  A part then holds at most BLOCK - 1 free bytes on either
+side, parts that are equal are counted away, and the rest takes the same way through the index.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +29,8 @@ from pagequarry.llm.common import stored
 LENGTH, SEED_BYTES = 100, 32
 SLICE = 1 << 20
 SHARD_BYTES = 1 << 21
-# Buckets of more contexts are settled window by window, with minima taken before the shuffle.
-HOT = 8_000
+# Buckets of more contexts are dealt again by what BLOCK neighbouring windows have in common.
+HOT, BLOCK = 8_000, 4
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -133,28 +140,58 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform with suffix samples where runs begin and end.
+    """A run-compressed Burrows-Wheeler transform of contexts, with suffix samples at both ends of a run.
 
-    Run i starts with the suffix ``heads[i]``; ``tails[i]`` is the last suffix of the run before
-    it, and ``common[i]`` their common prefix.  Everywhere inside a run the suffix before suffix
-    p in the order is the one before p - 1, moved by one, and shares one byte less.
+    Runs are held by symbol, then by place in the transform.  Contexts of different ``blocks`` have
+    different symbols, so one index holds many that know nothing of each other.
     """
 
-    chars: np.ndarray
+    words: np.ndarray    # the eight bytes from each place of the indexed text on
+    left: np.ndarray     # bytes from each place to the end of its context
+    size: int            # rows of the transform
+    symbols: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
-    heads: np.ndarray
-    tails: np.ndarray
-    common: np.ndarray
+    targets: np.ndarray  # row of the suffix that a run's first row leads to, one symbol further left
+    heads: np.ndarray    # suffix of a run's first row
+    tails: np.ndarray    # suffix of its last row
+
+
+@dataclass
+class Contexts:
+    """Contexts one after the other, a zero byte behind each."""
+
+    data: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Contexts:
+        lengths = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        return cls(np.frombuffer(b"\0".join(parts) + b"\0", np.uint8), ends - lengths, ends)
+
+    def per_place(self, values: np.ndarray) -> np.ndarray:
+        return np.repeat(values, self.ends - self.begins + 1)
+
+
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte lowest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        out |= padded[j:j + len(data)] << np.uint64(8 * j)
+    return out
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order, each up to the end of its context (``left`` bytes), equal ones by place."""
+def suffix_order(data: np.ndarray, left: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Suffixes by block, then in order, each up to the end of its context (``left`` bytes), equal ones by place."""
     n = len(data)
     symbols = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
+    key = block.astype(np.uint64)
+    for j in range(5):
         key = (key << np.uint64(9)) | np.where(left > j, symbols[j:j + n], 0).astype(np.uint64)
-    depth, most = 7, int(left.max(initial=0))
+    depth, most = 5, int(left.max(initial=0))
     while True:
         order = np.argsort(key, kind="stable")
         fresh = np.concatenate([[False], np.diff(key[order]) != 0])
@@ -167,97 +204,154 @@ def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
-def common_prefix(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal bytes from places a and b on, up to the shorter rest of a context."""
-    most = np.minimum(left[a], left[b])
-    out = np.zeros(len(a), np.int64)
+def build(texts: Contexts, block: np.ndarray) -> RunIndex:
+    """Index of contexts; ``block`` of each keeps it apart from those of other blocks."""
+    place_block = texts.per_place(block)
+    left = texts.per_place(texts.ends) - np.arange(len(texts.data))
+    order = suffix_order(texts.data, left, place_block)
+    # The symbol before a context's first byte is its block's end mark, below all bytes; no text holds it.
+    before = np.concatenate([[0], texts.data[:-1].astype(np.int64) + 1])
+    before[texts.begins] = 0
+    before = (before + 257 * place_block)[order]
+    starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(order)]]))
+    by_symbol = np.argsort(before[starts], kind="stable")
+    symbols, starts, lengths = before[starts][by_symbol], starts[by_symbol], lengths[by_symbol]
+    return RunIndex(byte_words(texts.data), left, len(order), symbols, starts, lengths, np.cumsum(lengths) - lengths,
+                    order[starts], order[starts + lengths - 1])
+
+
+def _agreeing(index: RunIndex, suffix: np.ndarray, words: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal bytes from indexed places ``suffix`` and streamed places ``at`` on, ``most`` at most."""
+    most = np.minimum(most, index.left[suffix])
+    out = np.zeros(len(at), np.int64)
     live = np.flatnonzero(most > 0)
     while len(live):
-        same = data[a[live] + out[live]] == data[b[live] + out[live]]
-        live = live[same]
-        out[live] += 1
-        live = live[out[live] < most[live]]
-    return out
-
+        differing = index.words[suffix[live] + out[live]] ^ words[at[live] + out[live]]
+        lowest = differing & (~differing + np.uint64(1))
+        out[live] += np.where(differing == 0, 8, np.bitwise_count(lowest - np.uint64(1)) // 8)
+        live = live[(differing == 0) & (out[live] < most[live])]
+    return np.minimum(out, most)
 
-def build(data: np.ndarray, left: np.ndarray, begins: np.ndarray) -> RunIndex:
-    """Index of contexts; ``begins`` are their first places, before which no byte stands."""
-    order = suffix_order(data, left)
-    before = data[order - 1].astype(np.int16)
-    starts = np.zeros(len(data), bool)
-    starts[begins] = True
-    # Each beginning is a symbol of its own, so it never joins a run.
-    before[starts[order]] = -1
-    head = np.ones(len(order), bool)
-    head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
-    at = np.flatnonzero(head)
-    heads, tails = order[at], order[np.maximum(at - 1, 0)]
-    common = common_prefix(data, left, heads, tails)
-    common[:1] = 0
-    return RunIndex(before[at], np.diff(np.concatenate([at, [len(order)]])), heads, tails, common)
 
+def matching_statistics(index: RunIndex, texts: Contexts, block: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """source, length per place of ``texts``: the longest match with the index that starts there, and where.
 
-def matching_statistics(index: RunIndex, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """source, length per place: the neighbour in suffix order and the common prefix with it.
-
-    Streamed from the samples alone: a place that heads no run goes on where its left neighbour was.
+    All texts are streamed side by side, a byte a step.  If the byte stands before the suffix at
+    hand, its row leads on; if not, the nearest run ends of that byte above and below are tried by
+    their samples.  A text is left when no match of ``least`` bytes can come any more, with zeros
+    for what is left of it.
     """
-    sample = np.zeros(n, np.int64)
-    sample[index.heads] = index.heads
-    sample = np.maximum.accumulate(sample)
-    source, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    source[index.heads], length[index.heads] = index.tails, index.common
-    moved = np.arange(n) - sample
-    return source[sample] + moved, length[sample] - moved
-
-
-def repeated(data: np.ndarray, left: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Places whose LENGTH bytes also start at a smaller place."""
-    source, length = matching_statistics(build(data, left, begins), len(data))
-    root = np.where(length >= LENGTH, source, np.arange(len(data)))
+    source, length = np.zeros(len(texts.data), np.int64), np.zeros(len(texts.data), np.int64)
+    words, last = byte_words(texts.data), len(index.symbols) - 1
+    keys = index.symbols * (index.size + 1) + index.starts
+    at, begin, base = texts.ends.copy(), texts.begins, 257 * block
+    row, match = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    found = np.full(len(at), index.heads[np.argmin(index.starts)], np.int64)
     while True:
-        further = root[root]
-        if np.array_equal(further, root):
-            break
-        root = further
-    first = np.arange(len(data))
-    np.minimum.at(first, root, np.arange(len(data)))
-    return (left >= LENGTH) & (first[root] < np.arange(len(data)))
+        live = (at > begin) & (at + match - begin >= least)
+        if not live.all():
+            at, begin, base, row, match, found = (x[live] for x in (at, begin, base, row, match, found))
+        if not len(at):
+            return source, length
+        at = at - 1
+        symbol = texts.data[at].astype(np.int64) + 1 + base
+        below = np.searchsorted(keys, symbol * (index.size + 1) + row, side="right")
+        above, below = np.maximum(below - 1, 0), np.minimum(below, last)
+        is_above = (index.symbols[above] == symbol) & (index.starts[above] <= row)
+        into = row - index.starts[above]
+        inside = is_above & (into < index.lengths[above])
+        row = np.where(inside, index.targets[above] + into, row)
+        match, found = np.where(inside, match + 1, match), np.where(inside, found - 1, found)
+        out = np.flatnonzero(~inside)
+        if len(out):
+            above, below, reach, place = above[out], below[out], match[out], at[out] + 1
+            is_below = (index.symbols[below] == symbol[out]) & (index.starts[below] > row[out])
+            up = np.where(is_above[out], _agreeing(index, index.tails[above], words, place, reach), -1)
+            down = np.where(is_below, _agreeing(index, index.heads[below], words, place, reach), -1)
+            upward = up >= down
+            match[out] = np.maximum(up, down) + 1
+            lost = match[out] == 0
+            found[out] = np.where(lost, found[out], np.where(upward, index.tails[above], index.heads[below]) - 1)
+            row[out] = np.where(lost, row[out], np.where(
+                upward, index.targets[above] + index.lengths[above] - 1, index.targets[below]))
+        source[at], length[at] = found, match
+
+
+def repeated(parts: list[bytes], bucket: np.ndarray) -> list[np.ndarray]:
+    """Windows of each context that an earlier context of its bucket holds too; a bucket's contexts follow each other.
+
+    No context holds a window twice (both would have the same anchor).  Rounds of doubling span:
+    the first half of each span of contexts is indexed, the second half is streamed through it.
+    Contexts without an open window stay out, so that copies are indexed once.
+    """
+    n = len(parts)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[:n])
+    group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [n]])))
+    rank = np.arange(n) - first[group]
+    marks = [np.zeros(len(p) - LENGTH + 1, bool) for p in parts]
+    is_open, span, most = np.ones(n, bool), 1, int(rank.max(initial=0))
+    while span <= most:
+        block, late = rank // (2 * span), rank // span % 2 == 1
+        pair = group * (most + 1) + block
+        early = np.flatnonzero(is_open & ~late & np.isin(pair, pair[is_open & late]))
+        later = np.flatnonzero(is_open & late & np.isin(pair, pair[early]))
+        if len(later):
+            texts = Contexts.of([parts[i] for i in later])
+            _, length = matching_statistics(build(Contexts.of([parts[i] for i in early]), block[early]), texts, block[later], LENGTH)
+            for i, begin in zip(later, texts.begins, strict=True):
+                marks[i] |= length[begin:begin + len(marks[i])] >= LENGTH
+                is_open[i] = not marks[i].all()
+        span *= 2
+    return marks
 
 
 def _indexed(group: pa.Table) -> pa.Table:
     """Repeats within one shard: row, at, windows of each run of repeated windows."""
-    group = group.sort_by([("doc_order", "ascending"), ("row", "ascending"), ("at", "ascending")])
-    parts = group["bytes"].to_pylist()
-    lengths = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    left = np.repeat(ends, lengths) - np.arange(len(data))
-    places = np.flatnonzero(repeated(data, left, begins))
+    group = group.sort_by([(c, "ascending") for c in ("seed", "doc_order", "row", "at")])
+    marks = repeated(group["bytes"].to_pylist(), group["seed"].to_numpy())
+    lengths = np.array([len(m) for m in marks])
+    begins = np.cumsum(lengths) - lengths
+    places = np.flatnonzero(np.concatenate(marks))
     head = np.concatenate([[True], np.diff(places) != 1])[:len(places)]
     head |= np.isin(places, begins)
     first = places[head]
     count = np.diff(np.concatenate([np.flatnonzero(head), [len(places)]]))
-    part = np.searchsorted(ends, first, side="right")
+    part = np.searchsorted(begins, first, side="right") - 1
     return pa.table({"row": group["row"].take(pa.array(part)), "at": group["at"].to_numpy()[part] + first - begins[part],
                      "windows": pa.array(count.astype(np.int32))})
 
 
+def _parted(context: bytes, seed: int) -> Iterator[tuple[int, int, bytes]]:
+    """seed, first window and bytes of the parts of a hot context: BLOCK neighbouring places of the anchor in a window."""
+    windows = len(context) - LENGTH + 1
+    anchor = int(np.argmax(seed_hashes(np.frombuffer(context, np.uint8)).view(np.int64) == seed))
+    for block in range((anchor - windows + 1) // BLOCK, anchor // BLOCK + 1):
+        low, high = max(anchor - block * BLOCK - BLOCK + 1, 0), min(anchor - block * BLOCK, windows - 1)
+        shared = context[anchor - block * BLOCK:anchor - block * BLOCK - BLOCK + 1 + LENGTH]
+        longer = hashlib.blake2b(shared, digest_size=8, person=b"%d" % block).digest()
+        yield int.from_bytes(longer, "little", signed=True), low, context[low:high + LENGTH]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted context, cut from the texts that hold them."""
+    """The bytes of each wanted context, cut from the texts that hold them; hot ones in parts."""
     for batch in batches:
         for i in range(len(batch)):
-            text, wanted = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
-            for first in range(0, len(wanted), 20_000):
-                some = wanted[first:first + 20_000]
-                at = [w["at"] for w in some]
+            text, wanted = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i]
+            for first in range(0, len(wanted.values), 20_000):
+                seeds, hot, at, parts = [], [], [], []
+                for w in wanted.values.slice(first, 20_000).to_pylist():
+                    context = text[w["at"]:w["at"] + w["windows"] + LENGTH - 1]
+                    for seed, low, part in _parted(context, w["seed"]) if w["hot"] else [(w["seed"], 0, context)]:
+                        seeds.append(seed)
+                        hot.append(w["hot"])
+                        at.append(w["at"] + low)
+                        parts.append(part)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([w["seed"] for w in some], pa.int64()), pa.array([w["hot"] for w in some], pa.bool_()),
-                    pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()),
-                    pa.array([batch.column(1)[i].as_py()] * len(some), pa.int64()), pa.array(at, pa.int64()),
-                    pa.array([text[a:a + w["windows"] + LENGTH - 1] for a, w in zip(at, some, strict=True)], pa.binary())],
-                    ["seed", "hot", "doc_order", "row", "at", "bytes"])
+                    pa.array(seeds, pa.int64()), pa.array(hot, pa.bool_()),
+                    pa.array([batch.column(0)[i].as_py()] * len(at), pa.int64()),
+                    pa.array([batch.column(1)[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()),
+                    pa.array(parts, pa.binary())], ["seed", "hot", "doc_order", "row", "at", "bytes"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +371,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def _window_marks(contexts: DataFrame) -> DataFrame:
-    """row, at, windows of repeats in hot buckets: every window by its own hash, least one first."""
+def _hot_parts(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of hot contexts: the first of each (where a bucket holds others too), and the marks of its copies."""
     place = F.struct("doc_order", "row", "at")
-    windows = contexts.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH))).select(
-        "doc_order", "row", (F.col("at") + F.col("i")).alias("at"),
-        F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)), 256).alias("key"))
-    least = windows.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(least, "key").where(place != F.col("least")).select("row", "at", F.lit(1).cast("int").alias("windows"))
+    parts = hot.select("seed", F.xxhash64(F.lit(7), "bytes").alias("content"), "doc_order", "row", "at", "bytes")
+    least = stored(parts.groupBy("seed", "content").agg(
+        F.min(F.struct("doc_order", "row", "at", "bytes")).alias("least"), F.count("*").alias("n")))
+    several = least.groupBy("seed").agg(F.count("*").alias("contents")).where("contents > 1")
+    firsts = least.join(several, "seed", "left_semi").select("seed", "least.*")
+    repeats = least.where("n > 1").select("seed", "content", F.struct("least.doc_order", "least.row", "least.at").alias("least"))
+    copies = parts.join(repeats, ["seed", "content"]).where(place != F.col("least")).select(
+        "row", "at", (F.octet_length("bytes") - (LENGTH - 1)).alias("windows"))
+    return firsts, copies
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -314,13 +412,14 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     doc_order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     contexts = stored(numbered.join(wanted, "row").select(doc_order.alias("doc_order"), "row", "text", "wanted").mapInArrow(
         _contexts, "seed bigint, hot boolean, doc_order bigint, row bigint, at bigint, bytes binary"))
-    total = contexts.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    firsts, copies = _hot_parts(contexts.where("hot"))
+    texts = contexts.where("not hot").drop("hot").unionByName(firsts)
+    total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("seed"), F.lit(int(total // SHARD_BYTES + 1)))
-    indexed = (contexts.where("not hot").select(shard.alias("shard"), "doc_order", "row", "at", "bytes")
-               .groupBy("shard").applyInArrow(_indexed, "row bigint, at bigint, windows int"))
+    indexed = texts.withColumn("shard", shard).groupBy("shard").applyInArrow(_indexed, "row bigint, at bigint, windows int")
     marks = (occurrences.where("repeat").select("row", "at", "windows")
              .unionByName(met.where("nth > 1").select("row", "at", "windows"))
-             .unionByName(indexed).unionByName(_window_marks(contexts.where("hot"))))
+             .unionByName(indexed).unionByName(copies))
     marked = marks.groupBy("row").agg(F.collect_list(F.struct("at", "windows")).alias("marks"))
     return numbered.join(marked, "row", "left").select(F.col("doc_id").cast("bigint"), "text", "marks").mapInArrow(
         _kept, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")

@@ -250,7 +250,7 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [bwt_dedup.HOT, 1])
+@pytest.mark.parametrize("hot", [bwt_dedup.HOT, 3, 1])
 def test_repeats(docs, spark, monkeypatch, hot):
     monkeypatch.setattr(bwt_dedup, "HOT", hot)
     rng = np.random.default_rng(8)
@@ -288,12 +288,48 @@ def test_slices_of_a_long_text(monkeypatch):
 
 
 def test_run_length_index_is_smaller_than_its_text():
-    parts = [PASSAGE.encode()] * 40
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    lengths = np.array([len(p) for p in parts])
-    ends = np.cumsum(lengths)
-    index = bwt_dedup.build(data, np.repeat(ends, lengths) - np.arange(len(data)), ends - lengths)
-    assert index.lengths.sum() == len(data) and len(index.heads) < len(data) / 10
+    texts = bwt_dedup.Contexts.of([PASSAGE.encode()] * 40)
+    index = bwt_dedup.build(texts, np.zeros(40, np.int64))
+    assert index.lengths.sum() == len(texts.data) and len(index.heads) < len(texts.data) / 10
+
+
+@pytest.mark.parametrize("letters", [b"ab", b"abcd\0\xff"])
+def test_matching_statistics(letters):
+    rng = np.random.default_rng(4)
+
+    def drawn(n):
+        return rng.choice(np.frombuffer(letters, np.uint8), n).tobytes()
+
+    def some(n):
+        return [base[(a := rng.integers(0, 50)):a + rng.integers(1, 30)] + drawn(rng.integers(0, 12)) for _ in range(n)]
+
+    base = drawn(60)
+    indexed, streamed = some(15), some(20)
+    own, asked = rng.integers(0, 3, 15), rng.integers(0, 4, 20)
+    texts, known = bwt_dedup.Contexts.of(streamed), bwt_dedup.Contexts.of(indexed)
+    source, length = bwt_dedup.matching_statistics(bwt_dedup.build(known, own), texts, asked)
+    for part, block, begin in zip(streamed, asked, texts.begins, strict=True):
+        rivals = [t for t, b in zip(indexed, own, strict=True) if b == block]
+        for i in range(len(part)):
+            n = max((k for k in range(len(part) - i + 1) if any(part[i:i + k] in t for t in rivals)), default=0)
+            assert length[begin + i] == n
+            assert known.data[source[begin + i]:][:n].tobytes() == part[i:i + n]
+
+
+def test_repeats_of_a_bucket_of_many_contexts():
+    rng = np.random.default_rng(5)
+
+    def drawn(letters, n):
+        return rng.choice(np.frombuffer(letters, np.uint8), n).tobytes()
+
+    middle = drawn(b"abcdefgh", 90)
+    parts = [drawn(b"xy", 6) + middle + drawn(b"xy", 6) for _ in range(150)]
+    seen, expected = set(), []
+    for part in parts:
+        windows = [part[i:i + 100] for i in range(3)]
+        expected.append([w in seen for w in windows])
+        seen.update(windows)
+    assert [m.tolist() for m in bwt_dedup.repeated(parts, np.zeros(150, np.int64))] == expected
 
 
 def test_quality_learns_and_holds_out(spark):
