@@ -189,11 +189,11 @@ def suffix_order(data: np.ndarray, left: np.ndarray, block: np.ndarray) -> np.nd
     n = len(data)
     symbols = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
     key = block.astype(np.uint64)
-    for j in range(5):
+    depth, most = 6 if int(block.max(initial=0)) < 1 << 10 else 5, int(left.max(initial=0))
+    for j in range(depth):
         key = (key << np.uint64(9)) | np.where(left > j, symbols[j:j + n], 0).astype(np.uint64)
-    depth, most = 5, int(left.max(initial=0))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable" if depth >= most else None)
         fresh = np.concatenate([[False], np.diff(key[order]) != 0])
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(fresh) + 1
@@ -335,40 +335,55 @@ def _parted(context: bytes, seed: int) -> Iterator[tuple[int, int, bytes]]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted context, cut from the texts that hold them; hot ones in parts."""
+    held: list[tuple] = []
+
+    def emitted() -> pa.RecordBatch:
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)],
+                                          ["seed", "hot", "doc_order", "row", "at", "bytes"])
+
     for batch in batches:
-        for i in range(len(batch)):
-            text, wanted = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i]
-            for first in range(0, len(wanted.values), 20_000):
-                seeds, hot, at, parts = [], [], [], []
-                for w in wanted.values.slice(first, 20_000).to_pylist():
-                    context = text[w["at"]:w["at"] + w["windows"] + LENGTH - 1]
-                    for seed, low, part in _parted(context, w["seed"]) if w["hot"] else [(w["seed"], 0, context)]:
-                        seeds.append(seed)
-                        hot.append(w["hot"])
-                        at.append(w["at"] + low)
-                        parts.append(part)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(seeds, pa.int64()), pa.array(hot, pa.bool_()),
-                    pa.array([batch.column(0)[i].as_py()] * len(at), pa.int64()),
-                    pa.array([batch.column(1)[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()),
-                    pa.array(parts, pa.binary())], ["seed", "hot", "doc_order", "row", "at", "bytes"])
+        docs, rows, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+        bounds = lists.offsets.to_pylist()
+        for i, (doc, row) in enumerate(zip(docs, rows, strict=True)):
+            text = batch.column(2)[i].as_buffer().to_pybytes()
+            for first in range(bounds[i], bounds[i + 1], 20_000):
+                some = lists.values.slice(first, min(20_000, bounds[i + 1] - first))
+                for seed, at, windows, hot in zip(*(some.field(c).to_pylist() for c in ("seed", "at", "windows", "hot")), strict=True):
+                    context = text[at:at + windows + LENGTH - 1]
+                    if hot:
+                        held.extend((part_seed, True, doc, row, at + low, part) for part_seed, low, part in _parted(context, seed))
+                    else:
+                        held.append((seed, False, doc, row, at, context))
+                    if len(held) >= 20_000:
+                        yield emitted()
+                        held.clear()
+    if held:
+        yield emitted()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text without the bytes of its marks, and its figures."""
     for batch in batches:
-        for i in range(len(batch)):
-            text, marks = batch.column(1)[i].as_py() or b"", batch.column(2)[i].as_py() or []
-            gone = np.zeros(len(text) + 1, np.int32)
-            if marks:
-                at = np.array([m["at"] for m in marks])
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + [m["windows"] + LENGTH - 1 for m in marks], -1)
+        texts, marks = batch.column(1), batch.column(2)
+        bounds = marks.offsets.to_numpy()
+        starts = marks.values.field("at").to_numpy(zero_copy_only=False)
+        ends = starts + marks.values.field("windows").to_numpy(zero_copy_only=False) + (LENGTH - 1)
+        kept, figures = [], np.zeros((3, len(batch)), np.int64)
+        for i, text in enumerate(texts):
+            data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+            figures[0, i] = len(data)
+            if bounds[i] == bounds[i + 1]:
+                kept.append(data.tobytes())
+                continue
+            mine = slice(bounds[i], bounds[i + 1])
+            gone = np.bincount(starts[mine], minlength=len(data) + 1) - np.bincount(ends[mine], minlength=len(data) + 1)
             gone = np.cumsum(gone)[:-1] > 0
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([kept], pa.binary()), pa.array([len(text)], pa.int64()),
-                                              pa.array([len(text) - len(kept)], pa.int64()), pa.array([runs], pa.int64())],
-                                             ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            figures[2, i] = gone[0] + np.count_nonzero(gone[1:] & ~gone[:-1])
+            kept.append(data[~gone].tobytes())
+            figures[1, i] = len(data) - len(kept[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *map(pa.array, figures)],
+                                         ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
 def _hot_parts(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
