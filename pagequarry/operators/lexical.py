@@ -9,6 +9,10 @@ Two ways lead to the same postings rows (db, scope, source, chunk_id, length, te
   all other words shrink to a length per chunk before the first shuffle.  That small table
   is written once, since statistics and scores both read it;
 * :func:`build_postings` makes the full table, to be stored and searched many times.
+
+Rows of asked terms are dealt once, by a bucket of their chunk.  Term counts, scores, the best
+row of a chunk id and the k best of a query are all taken inside the bucket, so matches never
+move: only k rows per query and bucket do, and of those each task sends on its k best.
 """
 
 from __future__ import annotations
@@ -26,16 +30,22 @@ from pagequarry.functions.words import explode_terms, is_counted, query_terms
 from pagequarry.session import bounded_broadcast, cut_lineage, spread
 
 CHUNK_KEYS = ["db", "scope", "source", "chunk_id"]
+BUCKET = "_bucket"
+BUCKETS_PER_PARTITION = 16   # buckets are hashed to partitions: enough of them to fill all evenly
 ORDER_DIGITS = 6   # ranks compare scores at this precision, then ids
 
 
 @dataclass(frozen=True)
 class Postings:
-    """``rows`` as above; ``corpus``: db, n_rows, mean_length; over all scopes of a database."""
+    """``rows`` as above; ``corpus``: db, n_rows, mean_length; over all scopes of a database.
+
+    ``tally``, where only asked terms were kept: one row per chunk with its length and the array
+    ``found`` of asked terms, repeats included.
+    """
 
     rows: DataFrame
     corpus: DataFrame
-    only_asked: bool = False
+    tally: DataFrame | None = None
 
 
 def with_questions(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -65,7 +75,7 @@ def scan_postings(chunks: DataFrame, wanted: DataFrame, texts: DataFrame | None
         F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("found")))
     rows = (tally.select(*CHUNK_KEYS, "length", F.explode("found").alias("term"))
             .groupBy(*CHUNK_KEYS, "length", "term").agg(F.count("*").alias("tf")))
-    return Postings(rows, _corpus(chunks, tally), only_asked=True)
+    return Postings(rows, _corpus(chunks, tally), tally)
 
 
 def build_postings(chunks: DataFrame, texts: DataFrame | None = None) -> Postings:
@@ -81,9 +91,10 @@ def build_postings(chunks: DataFrame, texts: DataFrame | None = None) -> Posting
 
 def term_statistics(postings: Postings) -> DataFrame:
     """db, term, document frequency and idf."""
-    df = postings.rows.groupBy("db", "term").agg(F.count("*").alias("df"))
-    return (df.join(bounded_broadcast(postings.corpus), "db")
-            .withColumn("idf", sc.bm25_idf(F.col("n_rows"), F.col("df"))))
+    rows = postings.rows if postings.tally is None else \
+        postings.tally.select("db", F.explode(F.array_distinct("found")).alias("term"))
+    df = rows.groupBy("db", "term").agg(F.count("*").alias("df"))
+    return df.join(postings.corpus, "db").withColumn("idf", sc.bm25_idf(F.col("n_rows"), F.col("df")))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -91,27 +102,44 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return query_terms(queries, keys, F.col("text"))
 
 
+def _dealt(postings: Postings, asked: DataFrame) -> DataFrame:
+    """Postings rows of asked terms, all rows of a chunk in one ``_bucket``."""
+    source = postings.rows if postings.tally is None else postings.tally
+    if postings.tally is None:
+        source = source.join(bounded_broadcast(asked.select("db", "term").distinct()), ["db", "term"], "left_semi")
+    n_buckets = BUCKETS_PER_PARTITION * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = source.withColumn(BUCKET, F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(n_buckets))).repartition(BUCKET)
+    if postings.tally is None:
+        return dealt
+    return (dealt.select(BUCKET, *CHUNK_KEYS, "length", F.explode("found").alias("term"))
+            .groupBy(BUCKET, *CHUNK_KEYS, "length", "term").agg(F.count("*").alias("tf")))
+
+
 def score(postings: Postings, asked: DataFrame) -> DataFrame:
-    """query_id, chunk keys and unrounded ``bm25`` of every match."""
-    rows = postings.rows
-    if not postings.only_asked:
-        rows = rows.join(bounded_broadcast(asked.select("db", "term").distinct()), ["db", "term"], "left_semi")
-    stats = term_statistics(Postings(rows, postings.corpus)).select("db", "term", "idf", "mean_length")
+    """``_bucket``, query_id, chunk keys and unrounded ``bm25`` of every match.
+
+    Grouped by bucket first, so the sums follow the one exchange of :func:`_dealt`.
+    """
+    stats = term_statistics(postings).select("db", "term", "idf", "mean_length")
     scoped = "scope" in asked.columns
     weights = asked.withColumnRenamed("scope", "asked_scope") if scoped else asked
     weights = bounded_broadcast(cut_lineage(weights.join(stats, ["db", "term"])))
-    hits = rows.join(weights, ["db", "term"])
+    hits = _dealt(postings, asked).join(weights, ["db", "term"])
     if scoped:
         hits = hits.where(F.col("asked_scope").isNull() | (F.col("asked_scope") == F.col("scope")))
     gain = sc.bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))
-    return hits.groupBy("query_id", *CHUNK_KEYS).agg(F.sum(gain).alias("bm25"))
+    return hits.groupBy(BUCKET, "query_id", *CHUNK_KEYS).agg(F.sum(gain).alias("bm25"))
 
 
 def with_matched_terms(hits: DataFrame, postings: Postings, asked: DataFrame) -> DataFrame:
     """Adds the sorted query terms each (already cut) hit contains."""
-    rows = postings.rows.select(*CHUNK_KEYS, "term")
     few = bounded_broadcast(hits.select("query_id", *CHUNK_KEYS))
-    found = (rows.join(few, CHUNK_KEYS).join(asked.select("query_id", "db", "term"), ["query_id", "db", "term"])
+    if postings.tally is None:
+        rows = postings.rows.select(*CHUNK_KEYS, "term").join(few, CHUNK_KEYS)
+    else:
+        rows = postings.tally.join(few, CHUNK_KEYS) \
+            .select("query_id", *CHUNK_KEYS, F.explode(F.array_distinct("found")).alias("term"))
+    found = (rows.join(asked.select("query_id", "db", "term"), ["query_id", "db", "term"])
              .groupBy("query_id", *CHUNK_KEYS).agg(F.sort_array(F.collect_set("term")).alias("matched_terms")))
     return hits.join(found, ["query_id", *CHUNK_KEYS])
 
@@ -152,7 +180,8 @@ def search_postings(postings: Postings, queries: DataFrame, k: int = 10, matched
 
 
 def _ranked(postings: Postings, asked: DataFrame, k: int, matched_terms: bool) -> DataFrame:
-    hits = best(score(postings, asked), "bm25", k).withColumn("score", F.round("bm25", 3))
+    in_bucket = best(score(postings, asked), "bm25", k, group=(BUCKET, "query_id", "db")).drop(BUCKET, "rank")
+    hits = best(in_bucket, "bm25", k).withColumn("score", F.round("bm25", 3))
     return with_matched_terms(cut_lineage(hits), postings, asked) if matched_terms else hits
 
 
