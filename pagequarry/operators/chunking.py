@@ -170,7 +170,9 @@ def split_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
     cut = (section_rows(docs.select(*keep, F.col(text).alias("_doc")), "_doc")
            .withColumn("lang", tx.chunk_language(F.col("_doc"))).drop("_doc")
            .withColumn("_chunks", _sized("sections")).drop("sections"))
-    rows = cut.select(*keep, "lang", F.posexplode("_chunks").alias("seq", "_c")).select(*keep, "lang", "seq", "_c.*")
+    # outer: of a plain explode Spark infers "not empty" and computes all sections once more to filter by it
+    rows = (cut.select(*keep, "lang", F.posexplode_outer("_chunks").alias("seq", "_c")).where(F.col("seq").isNotNull())
+            .select(*keep, "lang", "seq", "_c.*"))
     return (rows.withColumn("_nfc", nfc_where_needed(F.col("text")))
             .select(*keep, "seq", tx.content_key(F.col("text"), F.col("_nfc")).alias("chunk_id"), "anchor",
                     "heading_path", "char_start", "char_end", "text", "lang"))
