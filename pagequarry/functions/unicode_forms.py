@@ -56,8 +56,8 @@ def _plain_class() -> str:
 
 
 def has_other_folds(text: Column) -> Column:
-    """Whether a text may hold letters that do not fold one to one."""
-    return (F.length(text) < F.octet_length(text)) & text.rlike(f"[^{_plain_class()}]")
+    """Whether a text may hold letters that do not fold one to one; only characters beyond ASCII are looked up."""
+    return (F.length(text) < F.octet_length(text)) & text.rlike(rf"[^\x00-\x7f](?<![{_plain_class()}])")
 
 
 def strip_marks(token: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +40,16 @@ def word_forms(token: Column, folded: Column, stemmed: Column) -> Column:
             .otherwise(F.array_distinct(F.array(token, folded, spell_digraphs(token), stemmed))))
 
 
-def explode_words(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """One row per index word of ``text`` (repeats stay): ``token``, ``folded`` and ``stemmed``."""
+def explode_words(df: DataFrame, text: Column, keep: list[str],
+                  deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """One row per index word of ``text`` (repeats stay): ``token``, ``folded`` and ``stemmed``.
+
+    ``deal`` may spread the texts over tasks.  It comes after the Python step, behind which Spark
+    would no longer know how they lie, and before they become words.
+    """
     paired = df.select(*keep, text.alias("_text")) \
         .withColumn("_paired", words_with_folds(F.when(has_other_folds(F.col("_text")), F.col("_text"))))
-    words = paired.select(*keep, F.explode(F.coalesce(
+    words = deal(paired).select(*keep, F.explode(F.coalesce(
         F.col("_paired"), find_all(F.col("_text"), rf"[{WORD}]+"))).alias("_word"))
     is_pair = F.col("_word").contains(PAIR_MARK)
     return (words.withColumn("token", F.lower(F.substring_index("_word", PAIR_MARK, 1)))
@@ -63,7 +69,8 @@ def is_counted(term: Column) -> Column:
     return ~(term.contains("_") | term.contains("⁄"))
 
 
-def explode_terms(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+def explode_terms(df: DataFrame, text: Column, keep: list[str],
+                  deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """One row per index term of ``text``: every form of every index word.
 
     A word with ``_`` is counted part by part; the compound itself is an uncounted extra row
@@ -73,7 +80,7 @@ def explode_terms(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         F.filter(F.split(f, "[_⁄]"), lambda p: p != ""), F.when(is_counted(f), F.array().cast("array<string>"))
         .otherwise(F.array(f)))))
     simple = is_counted(F.col("token")) & is_counted(F.col("folded"))
-    return (explode_words(df, text, keep)
+    return (explode_words(df, text, keep, deal)
             .select(*keep, F.explode(F.when(simple, _forms()).otherwise(whole_and_parts)).alias("term"))
             .where("term <> ''"))
 

@@ -3,16 +3,17 @@
 ``chunks``: db, scope, source, chunk_id, text.  ``queries``: query_id, db, text and, where
 wanted, scope.  The score of a chunk counts every form of every word on both sides.
 
-Two ways lead to the same postings rows (db, scope, source, chunk_id, length, term, tf):
+Two ways lead to the same postings rows (db, scope, source, chunk_id, length, term, tf), held as
+one packed row per chunk with the array ``found`` of its terms and their counts:
 
-* :func:`scan_postings` reads the chunks once and keeps only terms some query asks for;
-  all other words shrink to a length per chunk before the first shuffle.  That small table
-  is written once, since statistics and scores both read it;
+* :func:`scan_postings` keeps only terms some query asks for; all other words shrink to a length;
 * :func:`build_postings` makes the full table, to be stored and searched many times.
 
-Rows of asked terms are dealt once, by a bucket of their chunk.  Term counts, scores, the best
-row of a chunk id and the k best of a query are all taken inside the bucket, so matches never
-move: only k rows per query and bucket do, and of those each task sends on its k best.
+Texts are dealt once, by their chunk, into tasks of a bounded number of bytes; words are counted
+there and never move.  Packed rows are dealt once more, by a bucket of their chunk, into tasks of
+a bounded number of matches: counts, scores, the best row of a chunk id and the k best of a query
+are all taken inside the bucket, so matches never move either: only k rows per query and bucket
+do, and of those each task sends on its k best.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
 from pagequarry.functions.words import explode_terms, is_counted, query_terms
-from pagequarry.session import bounded_broadcast, cut_lineage, spread
+from pagequarry.session import bounded_broadcast, cut_lineage
 
 CHUNK_KEYS = ["db", "scope", "source", "chunk_id"]
 BUCKET = "_bucket"
 BUCKETS_PER_PARTITION = 16   # buckets are hashed to partitions: enough of them to fill all evenly
+BYTES_PER_TASK = 8_000_000      # of text, which becomes some 1.5 million terms
+MATCHES_PER_TASK = 500_000      # of a query word and a chunk
 ORDER_DIGITS = 6   # ranks compare scores at this precision, then ids
 
 
@@ -39,8 +42,7 @@ ORDER_DIGITS = 6   # ranks compare scores at this precision, then ids
 class Postings:
     """``rows`` as above; ``corpus``: db, n_rows, mean_length; over all scopes of a database.
 
-    ``tally``, where only asked terms were kept: one row per chunk with its length and the array
-    ``found`` of asked terms, repeats included.
+    ``tally``, where there is one, is the packed form of the same rows.
     """
 
     rows: DataFrame
@@ -48,6 +50,11 @@ class Postings:
     tally: DataFrame | None = None
 
 
+def unpacked(tally: DataFrame) -> DataFrame:
+    """Postings rows of packed ones."""
+    return tally.select(*CHUNK_KEYS, "length", F.inline("found"))
+
+
 def with_questions(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Chunk texts plus one more row per hypothetical question (db, chunk_id, question).
 
@@ -65,34 +72,51 @@ def _corpus(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
             .select("db", "n_rows", (F.col("n_terms") / F.col("n_rows")).alias("mean_length")))
 
 
+def _tasks(df: DataFrame, amount: Column, per_task: int) -> int:
+    """Tasks for a summed ``amount`` of work, as many as there are cores at least."""
+    total = df.agg(F.sum(amount)).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-int(total) // per_task))
+
+
+def packed_postings(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per chunk that has words: its length and the array ``found`` of (term, tf).
+
+    With ``wanted`` (term, asked) only those terms are found; the others count for the length.
+    """
+    n = _tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
+    keys = [BUCKET, *CHUNK_KEYS]   # with the column dealt by, as a constant key would hide how the rows lie
+    terms = explode_terms(texts.withColumn(BUCKET, F.xxhash64(*CHUNK_KEYS)), F.col("text"), keys,
+                          deal=lambda rows: rows.repartition(n, BUCKET)) \
+        .withColumn("counts", is_counted(F.col("term")).cast("long"))
+    if wanted is not None:
+        terms = terms.join(wanted, "term", "left").withColumn("term", F.when(F.col("asked"), F.col("term")))
+    per_term = terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.sum("counts").alias("counts"))
+    return per_term.groupBy(*keys).agg(F.sum("counts").alias("length"), F.collect_list(
+        F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("found")).drop(BUCKET)
+
+
+def _postings(chunks: DataFrame, texts: DataFrame, wanted: DataFrame | None = None) -> Postings:
+    tally = cut_lineage(packed_postings(texts, wanted))
+    return Postings(unpacked(tally), cut_lineage(_corpus(chunks, tally)), tally)
+
+
 def scan_postings(chunks: DataFrame, wanted: DataFrame, texts: DataFrame | None = None) -> Postings:
     """Postings of the ``wanted`` terms only.  ``texts`` defaults to the chunk texts."""
-    texts = chunks if texts is None else texts
-    wanted = bounded_broadcast(wanted.select("term").distinct().withColumn("asked", F.lit(True)))
-    terms = explode_terms(spread(texts), F.col("text"), CHUNK_KEYS).join(wanted, "term", "left")
-    tally = cut_lineage(terms.groupBy(*CHUNK_KEYS).agg(
-        F.sum(is_counted(F.col("term")).cast("long")).alias("length"),
-        F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("found")))
-    rows = (tally.select(*CHUNK_KEYS, "length", F.explode("found").alias("term"))
-            .groupBy(*CHUNK_KEYS, "length", "term").agg(F.count("*").alias("tf")))
-    return Postings(rows, _corpus(chunks, tally), tally)
+    asked = bounded_broadcast(wanted.select("term").distinct().withColumn("asked", F.lit(True)))
+    return _postings(chunks, chunks if texts is None else texts, asked)
 
 
 def build_postings(chunks: DataFrame, texts: DataFrame | None = None) -> Postings:
-    """The full postings table."""
-    texts = chunks if texts is None else texts
-    tf = (explode_terms(spread(texts), F.col("text"), CHUNK_KEYS)
-          .groupBy(*CHUNK_KEYS, "term").agg(F.count("*").alias("tf")))
-    per_chunk = W.partitionBy(*CHUNK_KEYS)
-    rows = tf.withColumn("length", F.sum(F.when(is_counted(F.col("term")), F.col("tf")).otherwise(0)).over(per_chunk))
-    lengths = rows.groupBy(*CHUNK_KEYS).agg(F.first("length").alias("length"))
-    return Postings(rows.select(*CHUNK_KEYS, "length", "term", "tf"), _corpus(chunks, lengths))
-
-
-def term_statistics(postings: Postings) -> DataFrame:
-    """db, term, document frequency and idf."""
+    """The full postings table, written once in its packed form."""
+    return _postings(chunks, chunks if texts is None else texts)
+
+
+def term_statistics(postings: Postings, wanted: DataFrame | None = None) -> DataFrame:
+    """db, term, document frequency and idf; of the ``wanted`` (db, term) only, where given."""
     rows = postings.rows if postings.tally is None else \
-        postings.tally.select("db", F.explode(F.array_distinct("found")).alias("term"))
+        postings.tally.select("db", F.explode("found.term").alias("term"))
+    if wanted is not None:
+        rows = rows.join(bounded_broadcast(wanted.select("db", "term").distinct()), ["db", "term"], "left_semi")
     df = rows.groupBy("db", "term").agg(F.count("*").alias("df"))
     return df.join(postings.corpus, "db").withColumn("idf", sc.bm25_idf(F.col("n_rows"), F.col("df")))
 
@@ -102,17 +126,17 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return query_terms(queries, keys, F.col("text"))
 
 
-def _dealt(postings: Postings, asked: DataFrame) -> DataFrame:
-    """Postings rows of asked terms, all rows of a chunk in one ``_bucket``."""
-    source = postings.rows if postings.tally is None else postings.tally
-    if postings.tally is None:
-        source = source.join(bounded_broadcast(asked.select("db", "term").distinct()), ["db", "term"], "left_semi")
-    n_buckets = BUCKETS_PER_PARTITION * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.withColumn(BUCKET, F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(n_buckets))).repartition(BUCKET)
-    if postings.tally is None:
-        return dealt
-    return (dealt.select(BUCKET, *CHUNK_KEYS, "length", F.explode("found").alias("term"))
-            .groupBy(BUCKET, *CHUNK_KEYS, "length", "term").agg(F.count("*").alias("tf")))
+def _dealt(postings: Postings, asked: DataFrame, n: int) -> DataFrame:
+    """Postings rows of asked terms in ``n`` partitions, all rows of a chunk in one ``_bucket``.
+
+    Packed rows move whole, which is less than their rows of asked terms would be.  The number
+    of partitions is fixed: sizes seen by the exchange say nothing about the matches to come.
+    """
+    wanted = bounded_broadcast(asked.select("db", "term").distinct())
+    source = postings.rows.join(wanted, ["db", "term"], "left_semi") if postings.tally is None else \
+        postings.tally.where(F.size("found") > 0)
+    dealt = source.withColumn(BUCKET, F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(BUCKETS_PER_PARTITION * n))).repartition(n, BUCKET)
+    return dealt if postings.tally is None else dealt.select(BUCKET, *CHUNK_KEYS, "length", F.inline("found"))
 
 
 def score(postings: Postings, asked: DataFrame) -> DataFrame:
@@ -120,11 +144,12 @@ def score(postings: Postings, asked: DataFrame) -> DataFrame:
 
     Grouped by bucket first, so the sums follow the one exchange of :func:`_dealt`.
     """
-    stats = term_statistics(postings).select("db", "term", "idf", "mean_length")
+    stats = term_statistics(postings, asked).select("db", "term", "df", "idf", "mean_length")
     scoped = "scope" in asked.columns
     weights = asked.withColumnRenamed("scope", "asked_scope") if scoped else asked
-    weights = bounded_broadcast(cut_lineage(weights.join(stats, ["db", "term"])))
-    hits = _dealt(postings, asked).join(weights, ["db", "term"])
+    weights = cut_lineage(weights.join(stats, ["db", "term"]))
+    n = _tasks(weights, F.col("df"), MATCHES_PER_TASK)
+    hits = _dealt(postings, asked, n).join(bounded_broadcast(weights.drop("df")), ["db", "term"])
     if scoped:
         hits = hits.where(F.col("asked_scope").isNull() | (F.col("asked_scope") == F.col("scope")))
     gain = sc.bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))
@@ -138,7 +163,7 @@ def with_matched_terms(hits: DataFrame, postings: Postings, asked: DataFrame) ->
         rows = postings.rows.select(*CHUNK_KEYS, "term").join(few, CHUNK_KEYS)
     else:
         rows = postings.tally.join(few, CHUNK_KEYS) \
-            .select("query_id", *CHUNK_KEYS, F.explode(F.array_distinct("found")).alias("term"))
+            .select("query_id", *CHUNK_KEYS, F.explode("found.term").alias("term"))
     found = (rows.join(asked.select("query_id", "db", "term"), ["query_id", "db", "term"])
              .groupBy("query_id", *CHUNK_KEYS).agg(F.sort_array(F.collect_set("term")).alias("matched_terms")))
     return hits.join(found, ["query_id", *CHUNK_KEYS])
