@@ -28,7 +28,7 @@ def delete_everywhere(gone: DataFrame, store: KnowledgeStore, manifest: Snapshot
     changed = left.join(before.select("db", "filename", F.col("updated").alias("_before")), ["db", "filename"]) \
         .where(~F.col("updated").eqNullSafe(F.col("_before"))).select(*before.columns)
     all_sources = gone.unionByName(removed.select("db", F.col("filename").alias("source")))
-    held = [t.read().join(all_sources, ["db", "source"], "left_semi").groupBy("db").agg(F.lit(name).alias("table"), F.count("*").alias("removed"))
+    held = [t.counted().join(all_sources, ["db", "source"], "left_semi").groupBy("db").agg(F.lit(name).alias("table"), F.sum("n").alias("removed"))
             for name, t in store.tables().items() if t.exists()]
     told = [dropped.groupBy("db").agg(F.lit("manifest").alias("table"), F.count("*").alias("removed")),
             removed.groupBy("db").agg(F.lit("pages").alias("table"), F.count("*").alias("removed")), *held]

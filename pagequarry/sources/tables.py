@@ -6,6 +6,8 @@ Replacing or deleting the rows of some sources rewrites only the buckets they fa
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,18 @@ class SourceTable:
         return self._stored().select("db", "bucket", F.regexp_replace("_metadata.file_path", rf"(?:/[^/]*){{{levels}}}\z", "").alias("folder"))
 
     def _remove(self, folders: DataFrame) -> None:
+        self._remove_all(row["folder"] for row in folders.select("folder").distinct().collect())
+
+    def _remove_all(self, folders: Iterable[str]) -> None:
         jvm = self.spark._jvm
-        for row in folders.select("folder").distinct().collect():   # at most one row per database and bucket
-            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+        for name in folders:   # at most one per database and bucket
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
+    def _files(self) -> DataFrame:
+        """db, bucket, file: one row per file of the table; no column of its rows is read."""
+        return self._stored().select("db", "bucket", F.col("_metadata.file_path").alias("file")).distinct()
+
     def _stored(self) -> DataFrame:
         """The table with its partition columns; database names are text, whatever they look like."""
         before = self.spark.conf.get(_INFER)
@@ -66,6 +75,10 @@ class SourceTable:
             self.spark.conf.set(_INFER, before)
         return rows.withColumn("bucket", F.col("bucket").cast("int"))
 
+    def counted(self) -> DataFrame:
+        """db, source, n: one or more rows per source, with how many rows of :meth:`read` each stands for."""
+        return self._stored().select("db", "source", F.lit(1).cast("bigint").alias("n"))
+
     def read(self, dbs: list[str] | None = None) -> DataFrame:
         rows = self._stored()
         return (rows if dbs is None else rows.where(F.col("db").isin(dbs))).drop("bucket")
@@ -76,19 +89,34 @@ class SourceTable:
             if new_rows is not None:
                 self.write(new_rows)
             return
-        touched = bounded_broadcast(self._placed(sources).select("db", "bucket").distinct())
+        sources = cut_lineage(sources.select("db", "source").distinct())
+        touched = bounded_broadcast(cut_lineage(self._placed(sources).select("db", "bucket").distinct()))
         stored = self._stored()
+        before = cut_lineage(self._files().join(touched, ["db", "bucket"], "left_semi"))
         old = stored.join(touched, ["db", "bucket"], "left_semi")
         columns = stored.columns
         if new_rows is None:
             left = delete_source(old, sources)
         else:
             left = replace_source(old, self._placed(new_rows).select(*columns), sources)
-        emptied = cut_lineage(touched.join(left.select("db", "bucket").distinct(), ["db", "bucket"], "left_anti"))
         (left.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("db", "bucket").parquet(self.path))
-        # a bucket left without rows is not part of the overwrite
-        self._remove(self._folders(levels=1).join(emptied, ["db", "bucket"], "left_semi"))
+        # a bucket left without rows is not part of the overwrite: it alone still has its old files
+        self._remove(self._files().join(before.select("file"), "file", "left_semi")
+                     .select(F.regexp_replace("file", r"/[^/]*\z", "").alias("folder")))
+
+
+class PostingsTable(SourceTable):
+    """Postings, stored as one packed row per chunk, so that a change handles chunks and not terms."""
+
+    def packed(self) -> DataFrame:
+        return super().read()
+
+    def counted(self) -> DataFrame:
+        return self._stored().select("db", "source", F.size("found").cast("bigint").alias("n"))
+
+    def read(self, dbs: list[str] | None = None) -> DataFrame:
+        return lexical.unpacked(super().read(dbs))
 
 
 class KnowledgeStore:
@@ -101,7 +129,7 @@ class KnowledgeStore:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark = spark
         self.chunks = SourceTable(spark, f"{folder}/chunks", buckets)
-        self.postings = SourceTable(spark, f"{folder}/postings", buckets)
+        self.postings = PostingsTable(spark, f"{folder}/postings", buckets)
         self.lengths = SourceTable(spark, f"{folder}/lengths", buckets)
         self.vectors = SourceTable(spark, f"{folder}/vectors", buckets)
         self.questions = SourceTable(spark, f"{folder}/questions", buckets)
@@ -132,6 +160,8 @@ class KnowledgeStore:
 
     def replace_chunks(self, sources: DataFrame, chunks: DataFrame, model: dense.Model | None = None, name: str = "") -> None:
         """Replace the chunks of ``sources`` (db, source) in every table that holds something of them."""
+        sources = cut_lineage(sources.select("db", "source").distinct())
+        chunks = cut_lineage(chunks)
         self.chunks.replace(sources, chunks)
         postings, lengths = _indexed(chunks)
         self.postings.replace(sources, postings)
@@ -140,6 +170,7 @@ class KnowledgeStore:
             self.vectors.replace(sources, _embedded(chunks, model, name))
 
     def delete(self, sources: DataFrame) -> None:
+        sources = cut_lineage(sources.select("db", "source").distinct())
         for table in self.tables().values():
             table.replace(sources)
 
@@ -148,8 +179,8 @@ class KnowledgeStore:
         counts = None
         for name, table in self.tables().items():
             if table.exists():
-                n = table.read().join(dbs.select("db").distinct(), "db", "left_semi").groupBy("db").agg(
-                    F.lit(name).alias("table"), F.count("*").alias("removed"))
+                n = table.counted().join(dbs.select("db").distinct(), "db", "left_semi").groupBy("db").agg(
+                    F.lit(name).alias("table"), F.sum("n").alias("removed"))
                 counts = n if counts is None else counts.unionByName(n)
         counts = cut_lineage(counts) if counts is not None else self.spark.createDataFrame([], "db string, table string, removed bigint")
         for table in self.tables().values():
@@ -172,7 +203,7 @@ class KnowledgeStore:
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """BM25; the size of the corpus comes from the narrow table of lengths."""
         corpus = self.lengths.read().groupBy("db").agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
-        return lexical.search_postings(lexical.Postings(self.postings.read(), corpus), queries, k)
+        return lexical.search_postings(lexical.Postings(self.postings.read(), cut_lineage(corpus), self.postings.packed()), queries, k)
 
     def search_vectors(self, queries: DataFrame, model: dense.Model, name: str, k: int = 10) -> DataFrame:
         """Vector search with the stored vectors; no hits where there are none of this model."""
@@ -185,10 +216,10 @@ _VECTOR = "db string, scope string, source string, chunk_id string, model string
 
 
 def _indexed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings, and the length of every indexed chunk (zero where it has no terms)."""
-    once = chunking.first_per_chunk(chunks, ["source", "seq"])
-    postings = cut_lineage(lexical.build_postings(once).rows)
-    counted = postings.groupBy(*lexical.CHUNK_KEYS).agg(F.first("length").alias("length"))
+    """Packed postings, and the length of every indexed chunk (zero where it has no terms)."""
+    once = cut_lineage(chunking.first_per_chunk(chunks, ["source", "seq"]).select(*lexical.CHUNK_KEYS, "text"))
+    postings = cut_lineage(lexical.packed_postings(once))
+    counted = postings.select(*lexical.CHUNK_KEYS, "length")
     return postings, (once.select(*lexical.CHUNK_KEYS).join(counted, lexical.CHUNK_KEYS, "left")
                       .withColumn("length", F.coalesce("length", F.lit(0)).cast("bigint")))
 

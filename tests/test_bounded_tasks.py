@@ -1,8 +1,11 @@
 """Work per task is bounded by counted sizes, and changes of stored tables touch what they must."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from pagequarry.operators import lexical
+from pagequarry.sources.tables import KnowledgeStore
 
 CHUNK = "db string, scope string, source string, chunk_id string, text string"
 
@@ -60,3 +63,24 @@ def test_characters_beyond_ascii_are_looked_up(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     old = (F.length("t") < F.octet_length("t")) & F.col("t").rlike(f"[^{_plain_class()}]")
     assert df.where(has_other_folds(F.col("t")) != old).count() == 0 and df.where(old).count() > 2
+
+
+def test_a_change_of_the_store_handles_packed_rows(spark, tmp_path):
+    store = KnowledgeStore(spark, f"{tmp_path}/store", buckets=8)
+    rows = [("d", "raw", f"s{i}", 0, f"c{i}", f"word{i} shared text") for i in range(12)]
+    store.build(spark.createDataFrame(rows, "db string, scope string, source string, seq int, chunk_id string, text string"))
+    assert store.postings.packed().count() == 12 and store.postings.read().count() == 48   # shared is also found as shar
+    files = {p for p in Path(f"{tmp_path}/store/postings").rglob("*.parquet")}
+    first = store.postings._stored().where("source = 's0'").first()["bucket"]
+    same = [r.source for r in store.postings._stored().where(F.col("bucket") == first).select("source").collect()]
+    gone = spark.createDataFrame([("d", s) for s in same] + [("d", "never stored"), (None, "s5")], "db string, source string")
+    store.delete(gone)
+    left = {p for p in Path(f"{tmp_path}/store/postings").rglob("*.parquet")}
+    # the emptied bucket is gone, buckets without a named source were not written again
+    assert not list(Path(f"{tmp_path}/store/postings").rglob(f"bucket={first}/*.parquet"))
+    named = {first} | {r.b for r in gone.select(F.pmod(F.xxhash64("source"), F.lit(8)).alias("b")).collect()}
+    assert {p for p in files if int(p.parent.name.split("=")[1]) not in named} == {p for p in left if int(p.parent.name.split("=")[1]) not in named}
+    assert {r.source for r in store.chunks.read().collect()} == {f"s{i}" for i in range(12)} - set(same)
+    counts = {(r.table): r.removed for r in store.reset(spark.createDataFrame([("d",)], "db string")).collect()}
+    n = 12 - len(same)
+    assert counts == {"chunks": n, "postings": 4 * n, "lengths": n}
