@@ -266,17 +266,19 @@ def merged_conflicts(members: DataFrame, today: Column) -> DataFrame:
     the date of its first page, and from the first merge on ``today`` unless it has an effective date.
     """
     group, fact = ["db", "canonical"], ["db", "canonical", "key"]
-    dated = members.select(*group, "ord", dt.page_date(F.col("effective_date"), F.col("updated"), F.col("created")).alias("date"),
+    pages = members.select(*group, "ord", dt.page_date(F.col("effective_date"), F.col("updated"), F.col("created")).alias("date"),
                            F.col("effective_date").alias("effective"), "body")
-    facts = (mk.with_numeric_facts(spread(dated.select(*group, "ord", "body")), "body", "_f")
-             .select(*group, "ord", F.explode("_f").alias("_f")).select(*group, "ord", "_f.key", "_f.value").distinct())
-    facts = cut_lineage(facts)
+    # Members are read once, however they are made; repeats of a value matter to no step below.
+    dated = cut_lineage(mk.with_numeric_facts(spread(pages), "body", "_f").select(
+        *group, "ord", "date", "effective", F.array_distinct("_f").alias("_f")))
+    facts = dated.select(*group, "ord", F.inline("_f"))
     first = facts.groupBy(*fact, "value").agg(F.min("ord").alias("ord"))
     before = W.partitionBy(*fact).orderBy("ord").rangeBetween(W.unboundedPreceding, -1)
-    fresh = (first.withColumn("old", F.array_sort(F.collect_set("value").over(before))).where(F.size("old") > 0)
-             .groupBy(*fact, "ord").agg(F.first("old").alias("old")))
+    # The count says which rows contradict, so that a caller who wants no sentence pays for no lists.
+    fresh = (first.withColumn("old", F.collect_set("value").over(before)).withColumn("n_old", F.count("value").over(before))
+             .where("n_old > 0").groupBy(*fact, "ord").agg(F.first("old").alias("old")))
     stated = facts.join(fresh, [*fact, "ord"]).groupBy(*fact, "ord").agg(
-        F.first("old").alias("old"), F.array_sort(F.collect_set("value")).alias("new"))
+        F.array_sort(F.first("old")).alias("old"), F.array_sort(F.collect_set("value")).alias("new"))
     base = dated.groupBy(*group).agg(F.min(F.when(F.col("ord") > 0, F.col("ord"))).alias("second"),
                                      F.min(F.when(F.col("ord") == 0, F.struct("date", "effective"))).alias("base"))
     met = stated.join(dated.select(*group, "ord", "date"), [*group, "ord"]).join(base, group)

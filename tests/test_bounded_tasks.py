@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import lexical
+from pagequarry.operators import lexical, resolve
 from pagequarry.sources.tables import KnowledgeStore
 
 CHUNK = "db string, scope string, source string, chunk_id string, text string"
@@ -84,3 +84,25 @@ def test_a_change_of_the_store_handles_packed_rows(spark, tmp_path):
     counts = {(r.table): r.removed for r in store.reset(spark.createDataFrame([("d",)], "db string")).collect()}
     n = 12 - len(same)
     assert counts == {"chunks": n, "postings": 4 * n, "lengths": n}
+
+
+def test_conflicts_read_their_members_once(spark):
+    rows = [("d", "a", 0, "weight 5 kg", None, "2020-01-01", None), ("d", "a", 1, "weight 6 kg, weight 6 kg", None, "2021-01-01", None),
+            ("d", "a", 2, "weight 5 kg", None, "2022-01-01", None), ("d", "a", 3, "weight 7 kg and weight 6 kg", "2019-01-01", None, None),
+            ("d", "a", 3, "weight 8 kg", None, None, None), ("d", "b", 0, "weight 5 kg", None, None, None), ("d", None, 1, "weight 5 kg", None, None, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    members = spark.createDataFrame(rows, "db string, canonical string, ord int, body string, effective_date string, updated string, created string") \
+        .withColumn("body", read("body"))
+    for c in ("effective_date", "updated", "created"):
+        members = members.withColumn(c, F.col(c).cast("date"))
+    out = resolve.merged_conflicts(members, F.lit("2020-06-01").cast("date")).collect()
+    assert seen.value == len(rows)
+    assert sorted((r.ord, r.sentence) for r in out) == [
+        (1, "weight: now 6 kg per the newer source; previously 5 kg"),
+        *[(3, "weight: sources disagree — 5 kg, 6 kg vs 6 kg, 7 kg, 8 kg (unresolved)")] * 2]
