@@ -9,15 +9,17 @@ one packed row per chunk with the array ``found`` of its terms and their counts:
 * :func:`scan_postings` keeps only terms some query asks for; all other words shrink to a length;
 * :func:`build_postings` makes the full table, to be stored and searched many times.
 
-Texts are dealt once, by their chunk, into tasks of a bounded number of bytes; words are counted
-there and never move.  Packed rows are dealt once more, by a bucket of their chunk, into tasks of
-a bounded number of matches: counts, scores, the best row of a chunk id and the k best of a query
-are all taken inside the bucket, so matches never move either: only k rows per query and bucket
-do, and of those each task sends on its k best.
+Texts are dealt by their chunk into tasks of a bounded number of bytes (:func:`dealt_texts`);
+words are counted there and never move.  Packed rows are dealt once more, by a bucket of their
+chunk, one bucket a task, into tasks of a bounded number of matches: counts, scores, the best row
+of a chunk id and the k best of a query are all taken inside the bucket, so matches never move
+either: only k rows per query and task do.  They meet in tasks of a bounded number of rows, each
+of which sends on its k best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +30,13 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
 from pagequarry.functions.words import explode_terms, is_counted, query_terms
-from pagequarry.session import bounded_broadcast, cut_lineage
+from pagequarry.session import bounded_broadcast, cut_lineage, unsorted_partitions
 
 CHUNK_KEYS = ["db", "scope", "source", "chunk_id"]
 BUCKET = "_bucket"
-BUCKETS_PER_PARTITION = 16   # buckets are hashed to partitions: enough of them to fill all evenly
 BYTES_PER_TASK = 8_000_000      # of text, which becomes some 1.5 million terms
 MATCHES_PER_TASK = 500_000      # of a query word and a chunk
+HITS_PER_TASK = 500_000         # of the k best rows of a query in a bucket
 ORDER_DIGITS = 6   # ranks compare scores at this precision, then ids
 
 
@@ -74,19 +76,34 @@ def _corpus(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def _tasks(df: DataFrame, amount: Column, per_task: int) -> int:
     """Tasks for a summed ``amount`` of work, as many as there are cores at least."""
-    total = df.agg(F.sum(amount)).first()[0] or 0
+    return _at_least_cores(df, df.agg(F.sum(amount)).first()[0] or 0, per_task)
+
+
+def _at_least_cores(df: DataFrame, total: int, per_task: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-int(total) // per_task))
 
 
+def dealt_texts(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Texts with a ``_bucket`` of their ``keys``, and the ``deal`` of :func:`explode_words`.
+
+    It puts all texts of a bucket in one task of a bounded number of bytes.  Into many partitions
+    a writing task sorts its rows in memory, so texts, of which one task may read any amount, are
+    dealt into as few first as are written row by row; after that every task writes its share.
+    """
+    n = _tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
+    rows = texts.withColumn(BUCKET, F.xxhash64(*keys))
+    few = unsorted_partitions(texts.sparkSession)
+    return rows if n <= few else rows.repartition(few, BUCKET), lambda paired: paired.repartition(n, BUCKET)
+
+
 def packed_postings(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """One row per chunk that has words: its length and the array ``found`` of (term, tf).
 
     With ``wanted`` (term, asked) only those terms are found; the others count for the length.
     """
-    n = _tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
+    rows, deal = dealt_texts(texts, CHUNK_KEYS)
     keys = [BUCKET, *CHUNK_KEYS]   # with the column dealt by, as a constant key would hide how the rows lie
-    terms = explode_terms(texts.withColumn(BUCKET, F.xxhash64(*CHUNK_KEYS)), F.col("text"), keys,
-                          deal=lambda rows: rows.repartition(n, BUCKET)) \
+    terms = explode_terms(rows, F.col("text"), keys, deal) \
         .withColumn("counts", is_counted(F.col("term")).cast("long"))
     if wanted is not None:
         terms = terms.join(wanted, "term", "left").withColumn("term", F.when(F.col("asked"), F.col("term")))
@@ -127,7 +144,7 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def _dealt(postings: Postings, asked: DataFrame, n: int) -> DataFrame:
-    """Postings rows of asked terms in ``n`` partitions, all rows of a chunk in one ``_bucket``.
+    """Postings rows of asked terms in ``n`` partitions, a ``_bucket`` each, all rows of a chunk in one.
 
     Packed rows move whole, which is less than their rows of asked terms would be.  The number
     of partitions is fixed: sizes seen by the exchange say nothing about the matches to come.
@@ -135,7 +152,7 @@ def _dealt(postings: Postings, asked: DataFrame, n: int) -> DataFrame:
     wanted = bounded_broadcast(asked.select("db", "term").distinct())
     source = postings.rows.join(wanted, ["db", "term"], "left_semi") if postings.tally is None else \
         postings.tally.where(F.size("found") > 0)
-    dealt = source.withColumn(BUCKET, F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(BUCKETS_PER_PARTITION * n))).repartition(n, BUCKET)
+    dealt = source.withColumn(BUCKET, F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(n)).cast("int")).repartitionById(n, BUCKET)
     return dealt if postings.tally is None else dealt.select(BUCKET, *CHUNK_KEYS, "length", F.inline("found"))
 
 
@@ -144,6 +161,11 @@ def score(postings: Postings, asked: DataFrame) -> DataFrame:
 
     Grouped by bucket first, so the sums follow the one exchange of :func:`_dealt`.
     """
+    return _scored(postings, asked)[0]
+
+
+def _scored(postings: Postings, asked: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`score` and its number of buckets."""
     stats = term_statistics(postings, asked).select("db", "term", "df", "idf", "mean_length")
     scoped = "scope" in asked.columns
     weights = asked.withColumnRenamed("scope", "asked_scope") if scoped else asked
@@ -153,7 +175,7 @@ def score(postings: Postings, asked: DataFrame) -> DataFrame:
     if scoped:
         hits = hits.where(F.col("asked_scope").isNull() | (F.col("asked_scope") == F.col("scope")))
     gain = sc.bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))
-    return hits.groupBy(BUCKET, "query_id", *CHUNK_KEYS).agg(F.sum(gain).alias("bm25"))
+    return hits.groupBy(BUCKET, "query_id", *CHUNK_KEYS).agg(F.sum(gain).alias("bm25")), n
 
 
 def with_matched_terms(hits: DataFrame, postings: Postings, asked: DataFrame) -> DataFrame:
@@ -205,8 +227,11 @@ def search_postings(postings: Postings, queries: DataFrame, k: int = 10, matched
 
 
 def _ranked(postings: Postings, asked: DataFrame, k: int, matched_terms: bool) -> DataFrame:
-    in_bucket = best(score(postings, asked), "bm25", k, group=(BUCKET, "query_id", "db")).drop(BUCKET, "rank")
-    hits = best(in_bucket, "bm25", k).withColumn("score", F.round("bm25", 3))
+    scored, n_buckets = _scored(postings, asked)
+    in_bucket = best(scored, "bm25", k, group=(BUCKET, "query_id", "db")).drop(BUCKET, "rank")
+    kept = min(asked.select("query_id", "db").distinct().count() * k, MATCHES_PER_TASK)   # rows a bucket sends on
+    n = _at_least_cores(asked, n_buckets * kept, HITS_PER_TASK)
+    hits = best(in_bucket.repartition(n, "query_id", "db", "chunk_id"), "bm25", k).withColumn("score", F.round("bm25", 3))
     return with_matched_terms(cut_lineage(hits), postings, asked) if matched_terms else hits
 
 

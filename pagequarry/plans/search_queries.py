@@ -277,9 +277,11 @@ def containing_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
     in every document, block by block.
     """
     inner = explode_words(asked, F.regexp_replace("text", r"^\S+|\S+$", ""), ["query_id"]).select("query_id", "token").distinct()
-    words = explode_words(docs, F.col("text"), ["chunk_id"]).select("chunk_id", "token") \
-        .join(lexical.bounded_broadcast(inner.select("token").distinct()), "token", "left_semi").distinct()
-    words = cut_lineage(words)
+    rows, deal = lexical.dealt_texts(docs, ["chunk_id"])
+    keys = [lexical.BUCKET, "chunk_id", "token"]
+    words = explode_words(rows, F.col("text"), keys[:2], deal).select(*keys) \
+        .join(lexical.bounded_broadcast(inner.select("token").distinct()), "token", "left_semi").select(*keys).distinct()
+    words = cut_lineage(words.drop(lexical.BUCKET))
     freq = words.groupBy("token").agg(F.count("*").alias("df"))
     rare = inner.join(freq, "token").groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r")) \
         .select("query_id", F.col("r.token").alias("token"))

@@ -43,6 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsorted_partitions(spark: SparkSession) -> int:
+    """Into this many partitions an exchange writes rows as they come; into more it holds and sorts them."""
+    return int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy row work on an input of few splits (a no-op on large inputs)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from pagequarry.operators import lexical, resolve
+from pagequarry.plans import search_queries
 from pagequarry.sources.tables import KnowledgeStore
 
 CHUNK = "db string, scope string, source string, chunk_id string, text string"
@@ -46,6 +47,36 @@ def test_tasks_follow_the_matches_and_results_do_not(spark, monkeypatch):
     assert scored.rdd.getNumPartitions() >= max(matches // 3, spark.sparkContext.defaultParallelism)
 
 
+def test_texts_of_one_task_are_not_held_to_be_sorted(spark, monkeypatch):
+    chunks = _chunks(spark).coalesce(1)
+    docs, asked = _contained(spark)
+    usual = sorted(map(str, lexical.packed_postings(chunks).withColumn("found", F.sort_array("found")).collect()))
+    inside = sorted(map(str, search_queries.containing_documents(docs, asked).collect()))
+    monkeypatch.setattr(lexical, "BYTES_PER_TASK", 50)
+    monkeypatch.setattr(lexical, "unsorted_partitions", lambda spark: 3)
+    packed = lexical.packed_postings(chunks)
+    lines = [line for line in _plan(packed).splitlines() if "Exchange hashpartitioning(_bucket" in line]
+    assert len(lines) == 2 and ", 3)" in lines[1] and ", 3)" not in lines[0]
+    assert sorted(map(str, packed.withColumn("found", F.sort_array("found")).collect())) == usual
+    assert sorted(map(str, search_queries.containing_documents(docs, asked).collect())) == inside
+    assert len(inside) == 9
+
+
+def _contained(spark):
+    docs = [("c1", "zero alpha beta gamma end"), ("c2", "alpha beta gamma"), ("c3", "gamma beta alpha"), ("c4", None), (None, "x alpha beta gamma y"),
+            ("c2", "alpha beta gamma"), ("c5", "the of")]
+    asked = [("q1", "alpha beta gamma"), ("q2", "the of"), ("q3", None), ("q4", "beta")]
+    return spark.createDataFrame(docs, "chunk_id string, text string"), spark.createDataFrame(asked, "query_id string, text string")
+
+
+def test_a_task_is_one_bucket_and_sends_its_best_once(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "MATCHES_PER_TASK", 3)
+    asked = lexical.asked_terms(_asked(spark))
+    scored = lexical.score(lexical.build_postings(_chunks(spark)), asked).withColumn("task", F.spark_partition_id())
+    per_task = scored.groupBy("task").agg(F.count_distinct(lexical.BUCKET).alias("n")).collect()
+    assert len(per_task) > 1 and {r.n for r in per_task} == {1}
+
+
 def test_packed_rows_hold_the_postings(spark):
     made = lexical.build_postings(_chunks(spark))
     rows = {(r.source, r.term): (r.tf, r.length) for r in made.rows.collect()}
