@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from pagequarry import fixed_values as fv
 from pagequarry.functions import scores as sc
 from pagequarry.functions import text as tx
+from pagequarry.operators import lexical
 from pagequarry.operators.lexical import top
-from pagequarry.session import spread
+from pagequarry.session import unsorted_partitions
 
 Model = Callable[[Column], Column]
 SCORE_DIGITS = 6
@@ -72,12 +73,23 @@ def batched_model(embed: Callable[[list[str]], list[list[float]]],
     return run
 
 
+def _dealt(rows: DataFrame, head: str, text: str) -> DataFrame:
+    """Rows in tasks of a bounded number of bytes of ``head``, however few tasks they are read by.
+
+    A file of one row group is read by one task, whatever its splits.  More tasks than a writing
+    task can fill without holding its rows are not made: rows are embedded as they come.
+    """
+    n = min(lexical.tasks(rows, F.octet_length(head), lexical.BYTES_PER_TASK), unsorted_partitions(rows.sparkSession))
+    plain = [c for c, kind in rows.dtypes if kind in ("string", "int", "bigint") and c != text]
+    return rows.repartition(n, *plain) if rows.rdd.getNumPartitions() < n else rows
+
+
 def embed(rows: DataFrame, model: Model = letter_model, text: str = "text") -> DataFrame:
     """``rows`` with a unit-length ``vec``; the text itself is untouched."""
-    raw = model(F.left(F.col(text), F.lit(fv.EMBED_CHARS)))
+    heads = rows.withColumn("_head", F.left(F.col(text), F.lit(fv.EMBED_CHARS)))
     scaled = F.transform("_raw", lambda x: x.cast("double") / F.col("_norm"))
-    return (spread(rows).withColumn("_raw", raw).withColumn("_norm", sc.norm(F.col("_raw")))
-            .withColumn("vec", scaled).drop("_raw", "_norm"))
+    return (_dealt(heads, "_head", text).withColumn("_raw", model(F.col("_head"))).withColumn("_norm", sc.norm(F.col("_raw")))
+            .withColumn("vec", scaled).drop("_head", "_raw", "_norm"))
 
 
 def embedded_text(text: Column, page_type: Column, title: Column, description: Column, tags: Column) -> Column:

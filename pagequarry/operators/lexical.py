@@ -74,7 +74,7 @@ def _corpus(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
             .select("db", "n_rows", (F.col("n_terms") / F.col("n_rows")).alias("mean_length")))
 
 
-def _tasks(df: DataFrame, amount: Column, per_task: int) -> int:
+def tasks(df: DataFrame, amount: Column, per_task: int) -> int:
     """Tasks for a summed ``amount`` of work, as many as there are cores at least."""
     return _at_least_cores(df, df.agg(F.sum(amount)).first()[0] or 0, per_task)
 
@@ -90,7 +90,7 @@ def dealt_texts(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[
     a writing task sorts its rows in memory, so texts, of which one task may read any amount, are
     dealt into as few first as are written row by row; after that every task writes its share.
     """
-    n = _tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
+    n = tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
     rows = texts.withColumn(BUCKET, F.xxhash64(*keys))
     few = unsorted_partitions(texts.sparkSession)
     return rows if n <= few else rows.repartition(few, BUCKET), lambda paired: paired.repartition(n, BUCKET)
@@ -170,7 +170,7 @@ def _scored(postings: Postings, asked: DataFrame) -> tuple[DataFrame, int]:
     scoped = "scope" in asked.columns
     weights = asked.withColumnRenamed("scope", "asked_scope") if scoped else asked
     weights = cut_lineage(weights.join(stats, ["db", "term"]))
-    n = _tasks(weights, F.col("df"), MATCHES_PER_TASK)
+    n = tasks(weights, F.col("df"), MATCHES_PER_TASK)
     hits = _dealt(postings, asked, n).join(bounded_broadcast(weights.drop("df")), ["db", "term"])
     if scoped:
         hits = hits.where(F.col("asked_scope").isNull() | (F.col("asked_scope") == F.col("scope")))

@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import lexical, resolve
+from pagequarry.operators import dense, lexical, resolve
 from pagequarry.plans import search_queries
 from pagequarry.sources.tables import KnowledgeStore
 
@@ -62,6 +62,24 @@ def test_texts_of_one_task_are_not_held_to_be_sorted(spark, monkeypatch):
     assert len(inside) == 9
 
 
+def test_texts_are_embedded_in_tasks_of_counted_bytes(spark, monkeypatch):
+    chunks = _chunks(spark).repartition(8).cache()     # as many partitions as cores, which may all lie in one row group
+
+    def vectors():
+        return sorted(repr((r.source, r.chunk_id, r.text, r.vec)) for r in dense.embed(chunks).collect())
+
+    usual = vectors()
+    monkeypatch.setattr(lexical, "BYTES_PER_TASK", 50)
+    many = dense.embed(chunks)
+    assert many.columns == [*chunks.columns, "vec"] and many.rdd.getNumPartitions() > 20 and vectors() == usual
+    monkeypatch.setattr(dense, "unsorted_partitions", lambda spark: 12)
+    some = dense.embed(chunks)
+    assert some.rdd.getNumPartitions() == 12 and vectors() == usual
+    # the text is not sent twice, and no row is held to be sorted
+    plan = _plan(some.drop("text")).split("Exchange hashpartitioning(", 1)[1]
+    assert plan.startswith("db") and "RoundRobin" not in plan.split("InMemoryTableScan")[0] and "text#" not in plan.split(", 12)")[0]
+
+
 def _contained(spark):
     docs = [("c1", "zero alpha beta gamma end"), ("c2", "alpha beta gamma"), ("c3", "gamma beta alpha"), ("c4", None), (None, "x alpha beta gamma y"),
             ("c2", "alpha beta gamma"), ("c5", "the of")]
