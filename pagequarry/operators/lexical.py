@@ -83,17 +83,17 @@ def _at_least_cores(df: DataFrame, total: int, per_task: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-int(total) // per_task))
 
 
-def dealt_texts(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def dealt_texts(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """Texts with a ``_bucket`` of their ``keys``, and the ``deal`` of :func:`explode_words`.
 
-    It puts all texts of a bucket in one task of a bounded number of bytes.  Into many partitions
+    It puts all texts of a bucket (or of another key) in one task of a bounded number of bytes.  Into many partitions
     a writing task sorts its rows in memory, so texts, of which one task may read any amount, are
     dealt into as few first as are written row by row; after that every task writes its share.
     """
     n = tasks(texts, F.octet_length("text"), BYTES_PER_TASK)
     rows = texts.withColumn(BUCKET, F.xxhash64(*keys))
     few = unsorted_partitions(texts.sparkSession)
-    return rows if n <= few else rows.repartition(few, BUCKET), lambda paired: paired.repartition(n, BUCKET)
+    return rows if n <= few else rows.repartition(few, BUCKET), lambda paired, by=BUCKET: paired.repartition(n, by)
 
 
 def packed_postings(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

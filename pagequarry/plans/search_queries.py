@@ -10,7 +10,7 @@ from pagequarry.functions import scores as sc
 from pagequarry.functions.words import explode_words, word_forms
 from pagequarry.operators import answering, dense, fusion, lexical, metrics
 from pagequarry.plans import inputs as src
-from pagequarry.session import cut_lineage
+from pagequarry.session import BROADCAST_ROWS, cut_lineage, is_small
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -272,9 +272,10 @@ def containing_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, token): documents that hold a query text literally.
 
     Candidates come from an equi-join on the rarest full word of the passage, then the
-    literal test runs on the few documents left; nothing is compared with everything.  Only
-    passages without a full word inside (one or two words, or stop words alone) are looked for
-    in every document, block by block.
+    literal test runs on the few documents left; nothing is compared with everything.  Few
+    candidates are sent to the texts, which are tested where they are read; to many, texts are
+    dealt by counted bytes.  Only passages without a full word inside (one or two words, or stop
+    words alone) are looked for in every document, block by block.
     """
     inner = explode_words(asked, F.regexp_replace("text", r"^\S+|\S+$", ""), ["query_id"]).select("query_id", "token").distinct()
     rows, deal = lexical.dealt_texts(docs, ["chunk_id"])
@@ -283,19 +284,22 @@ def containing_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
         .join(lexical.bounded_broadcast(inner.select("token").distinct()), "token", "left_semi").select(*keys).distinct()
     words = cut_lineage(words.drop(lexical.BUCKET))
     freq = words.groupBy("token").agg(F.count("*").alias("df"))
-    rare = inner.join(freq, "token").groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r")) \
-        .select("query_id", F.col("r.token").alias("token"))
-    pairs = words.join(rare, "token").select("query_id", "chunk_id")
-    texts = docs.select("chunk_id", "text")
-    found = (pairs.join(texts, "chunk_id").join(asked.select("query_id", F.col("text").alias("passage")), "query_id")
-             .where(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("token")))
+    rare = cut_lineage(inner.join(freq, "token").groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r"))
+                       .select("query_id", F.col("r.token").alias("token")))
+    pairs = cut_lineage(words.join(lexical.bounded_broadcast(rare), "token").select("query_id", "chunk_id"))
+    texts, passages = docs.select("chunk_id", "text"), asked.select("query_id", F.col("text").alias("passage"))
+    met = texts.join(F.broadcast(pairs), "chunk_id").join(F.broadcast(passages), "query_id") \
+        if is_small(pairs) and is_small(passages) else \
+        deal(rows, "chunk_id").select("chunk_id", "text").join(pairs.join(passages, "query_id"), "chunk_id")
+    found = met.where(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("token"))
     short = cut_lineage(asked.join(inner.select("query_id").distinct(), "query_id", "left_anti").where("text <> ''")
                         .select("query_id", F.col("text").alias("passage")))
     n_blocks = -(-short.count() // PASSAGES_PER_BLOCK)
     if not n_blocks:
         return found
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "passage")).alias("passages"))
+    blocks = lexical.bounded_broadcast(short.groupBy(block.alias("block")).agg(
+        F.collect_list(F.struct("query_id", "passage")).alias("passages")), BROADCAST_ROWS // PASSAGES_PER_BLOCK)
     met = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
     inside = F.filter("passages", lambda p: F.col("text").contains(p["passage"]))
     return found.unionByName(met.select(F.explode(inside).alias("p"), "chunk_id").select("p.query_id", F.col("chunk_id").alias("token")))

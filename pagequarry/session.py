@@ -17,7 +17,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
     The count stops at the bound, so a side of any size costs at most ``max_rows`` rows.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -87,6 +87,21 @@ def _contained(spark):
     return spark.createDataFrame(docs, "chunk_id string, text string"), spark.createDataFrame(asked, "query_id string, text string")
 
 
+def test_texts_do_not_move_to_few_candidates(spark, monkeypatch):
+    docs, asked = _contained(spark)
+    docs, asked = docs.cache(), asked.unionByName(asked.where("query_id = 'q1'"))     # a query id may repeat
+    few = search_queries.containing_documents(docs, asked)
+    inside = sorted(map(str, few.collect()))
+    moved = [line for line in _plan(few).splitlines() if "Exchange hashpartitioning(chunk_id" in line]
+    assert len(inside) == 12 and not moved
+    monkeypatch.setattr(search_queries, "is_small", lambda rows: False)
+    monkeypatch.setattr(lexical, "BYTES_PER_TASK", 5)
+    monkeypatch.setattr(lexical, "unsorted_partitions", lambda spark: 3)
+    many = search_queries.containing_documents(docs, asked)
+    dealt = [line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert [line.rsplit(", ", 1)[1] for line in dealt[:2]] == ["20", "3"] and sorted(map(str, many.collect())) == inside
+
+
 def test_a_task_is_one_bucket_and_sends_its_best_once(spark, monkeypatch):
     monkeypatch.setattr(lexical, "MATCHES_PER_TASK", 3)
     asked = lexical.asked_terms(_asked(spark))
