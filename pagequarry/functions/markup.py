@@ -14,6 +14,8 @@ _MARK = "\ufdd0"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 KEY_FACTS = "## key facts"
 H2 = rf"(?md)^##[{SPACE}]+(.+?)[{SPACE}]*$"
+# What stands under a heading, without the white space around it, in one pass from the end.
+_UNDER_H2 = rf"(?s)\A(?>(?md-s:{H2.removeprefix('(?md)^').replace('(.+?)', '.+?')}))?+[{SPACE}]*+(.*[^{SPACE}])"
 ANY_HEADING = rf"\A#{{1,6}}[{SPACE}]"
 
 
@@ -181,24 +183,31 @@ def with_citations(page_body: Column, sources: Column) -> Column:
 
 def collapse_sections(page_body: Column) -> Column:
     """struct(body, removed): of adjacent equal ``## `` sections the longest stays, ties the first."""
-    pieces = F.split(F.regexp_replace(page_body, H2, _MARK + "$0"), _MARK, -1)
-    sections = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda s, i: F.struct(
-        F.lower(strip(F.regexp_extract(s, H2, 1))).alias("name"),
-        F.length(strip(F.regexp_replace(s, r"\A" + H2.removeprefix("(?md)^").join(["(?md:", ")"]), ""))).alias("size"),
-        (-i).alias("minus_i"), s.alias("text")))
+    def cut(pieces: Column) -> Column:
+        return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda s, i: F.struct(
+            F.lower(strip(F.regexp_extract(s, H2, 1))).alias("name"),
+            F.length(F.regexp_extract(s, _UNDER_H2, 1)).alias("size"),
+            (-i).alias("minus_i"), s.alias("text")))
+
+    def run_starts(sections: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(sections) - 1), lambda i: (i == 0) | (
+            F.get(sections, i)["name"] != F.get(sections, i - 1)["name"]))
 
     def best_of_run(run: Column) -> Column:
         return F.array_max(F.transform(run, lambda s: F.struct(s["size"], s["minus_i"], s["text"])))["text"]
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(sections) - 1), lambda i: (i == 0) | (
-        F.get(sections, i)["name"] != F.get(sections, i - 1)["name"]))
-    runs = F.transform(starts, lambda at, n: F.slice(
-        sections, at + 1, F.coalesce(F.get(starts, n + 1), F.size(sections)) - at))
-    kept = F.transform(runs, best_of_run)
-    text = F.concat(F.get(pieces, F.lit(0)), F.array_join(kept, ""))
-    enough = F.size(sections) >= 2
-    return F.struct(F.when(enough, text).otherwise(page_body).alias("body"),
-                    F.when(enough, F.size(sections) - F.size(starts)).otherwise(0).alias("removed"))
+    def collapsed(pieces: Column, sections: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda at, n: F.slice(
+            sections, at + 1, F.coalesce(F.get(starts, n + 1), F.size(sections)) - at))
+        kept = F.transform(runs, best_of_run)
+        text = F.concat(F.get(pieces, F.lit(0)), F.array_join(kept, ""))
+        enough = F.size(sections) >= 2
+        return F.struct(F.when(enough, text).otherwise(page_body).alias("body"),
+                        F.when(enough, F.size(sections) - F.size(starts)).otherwise(0).alias("removed"))
+
+    marked = F.split(F.regexp_replace(page_body, H2, _MARK + "$0"), _MARK, -1)
+    return tx.let(marked, lambda pieces: tx.let(cut(pieces), lambda sections: tx.let(
+        run_starts(sections), lambda starts: collapsed(pieces, sections, starts))))
 
 
 # --- part markers, model output ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ LEFT_EDGE = rf"(?<![{WORD}])"
 RIGHT_EDGE = rf"(?![{WORD}])"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    An expression that is named twice is computed twice, and inside a lambda once per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """Every non-overlapping match of ``pattern``, as an array of one group."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

@@ -56,3 +56,14 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy row work on an input of few splits (a no-op on large inputs)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_read(df: DataFrame, *by: str) -> DataFrame:
+    """:func:`spread` for rows as they are read, by the columns ``by``, also where few of many splits hold rows.
+
+    A file of one row group is read by one task, whatever its splits.  Rows are counted without
+    their columns, and dealt into no more partitions than are written as the rows come.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    readers = df.select(F.spark_partition_id()).distinct().count()
+    return df.repartition(min(cores, unsorted_partitions(df.sparkSession)), *by) if readers < cores else df

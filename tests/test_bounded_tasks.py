@@ -4,8 +4,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from pagequarry.functions import markup as mk
 from pagequarry.operators import dense, lexical, resolve
 from pagequarry.plans import search_queries
+from pagequarry.session import spread_read
 from pagequarry.sources.tables import KnowledgeStore
 
 CHUNK = "db string, scope string, source string, chunk_id string, text string"
@@ -170,3 +172,28 @@ def test_conflicts_read_their_members_once(spark):
     assert sorted((r.ord, r.sentence) for r in out) == [
         (1, "weight: now 6 kg per the newer source; previously 5 kg"),
         *[(3, "weight: sources disagree — 5 kg, 6 kg vs 6 kg, 7 kg, 8 kg (unresolved)")] * 2]
+
+
+def test_sections_of_a_page_are_cut_once(spark):
+    texts = ["no section", None, "## A\none\n## a \none longer\n## B\nx", "lead\n## A\n\nsame\n##  a\nsame\n## A\n\xa0same\u3000\n", "## A\n \n## A\n\n## B", "## A\n"]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, b string").withColumn("c", mk.collapse_sections(F.col("b")))
+    out = out.select("i", "c.body", "c.removed")
+    assert _plan(out).count("(?md)^##[") == 2 and _plan(out).count("sequence(0, ") == 1
+    assert sorted((r.i, r.body, r.removed) for r in out.collect()) == [
+        (0, "no section", 0), (1, None, 0), (2, "## a \none longer\n## B\nx", 1), (3, "lead\n## A\n\nsame\n", 2), (4, "## A\n \n## B", 1), (5, "## A\n", 0)]
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(4000).select(F.col("id").alias("i"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        read = spark.read.parquet(f"{tmp_path}/one")
+        assert read.rdd.getNumPartitions() > cores and read.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = spread_read(read, "i")
+        assert dealt.groupBy(F.spark_partition_id()).count().count() == cores and sorted(dealt.collect()) == sorted(read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert spread_read(dealt, "i") is dealt
