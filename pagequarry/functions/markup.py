@@ -292,6 +292,23 @@ def with_numeric_facts(df: DataFrame, text: str, name: str) -> DataFrame:
     return keyed.withColumn(name, facts).drop("_all", "_between", "_number", "_unit", "_word", "_key")
 
 
+def values_by_key(facts: Column) -> Column:
+    """array<struct(key, values)>: the distinct values of every key, both in order."""
+    def distinct(ordered: Column) -> Column:
+        return F.filter(ordered, lambda f, i: (i == 0) | ~f.eqNullSafe(F.get(ordered, i - 1)))
+
+    def run_starts(ordered: Column) -> Column:
+        return F.filter(F.transform(ordered, lambda f, i: i), lambda i: (i == 0) | ~F.get(ordered, i)["key"].eqNullSafe(
+            F.get(ordered, i - 1)["key"]))
+
+    def runs(ordered: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, n: F.struct(F.get(ordered, at)["key"].alias("key"), F.transform(F.slice(
+            ordered, at + 1, F.coalesce(F.get(starts, n + 1), F.size(ordered)) - at), lambda f: f["value"]).alias("values")))
+
+    return tx.let(F.array_sort(facts), lambda facts: tx.let(distinct(facts), lambda ordered: tx.let(
+        run_starts(ordered), lambda starts: runs(ordered, starts))))
+
+
 def contradictions(old_facts: Column, new_facts: Column) -> Column:
     """array<struct(key, old, new)>: keys where the new text has a value the old one lacks."""
     def values(facts: Column, key: Column) -> Column:

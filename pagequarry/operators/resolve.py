@@ -16,7 +16,7 @@ from pagequarry.functions import dates as dt
 from pagequarry.functions import markup as mk
 from pagequarry.functions import text as tx
 from pagequarry.functions import words as wd
-from pagequarry.session import cut_lineage, spread
+from pagequarry.session import cut_lineage, is_dealt, spread
 
 _TOPIC = ["db", "type", "tokens"]
 
@@ -261,27 +261,37 @@ def merged_conflicts(members: DataFrame, today: Column) -> DataFrame:
 
     ``members``: db, canonical, ord, body, effective_date, updated, created; ord 0 is the page the
     others are merged into, one after the other.  A page contradicts the pages before it in a key
-    for which they have values and it brings a new one.  Only the first page of every value counts
-    as its origin, so copies are counted away before pages of a group meet.  The merged page has
+    for which they have values and it brings a new one.  Only the first page of every set of values
+    counts, so copies are counted away before pages of a group meet.  The merged page has
     the date of its first page, and from the first merge on ``today`` unless it has an effective date.
     """
     group, fact = ["db", "canonical"], ["db", "canonical", "key"]
-    pages = members.select(*group, "ord", dt.page_date(F.col("effective_date"), F.col("updated"), F.col("created")).alias("date"),
-                           F.col("effective_date").alias("effective"), "body")
-    # Members are read once, however they are made; repeats of a value matter to no step below.
-    dated = cut_lineage(mk.with_numeric_facts(spread(pages), "body", "_f").select(
-        *group, "ord", "date", "effective", F.array_distinct("_f").alias("_f")))
-    facts = dated.select(*group, "ord", F.inline("_f"))
-    first = facts.groupBy(*fact, "value").agg(F.min("ord").alias("ord"))
+    pages = members.select(*group, "ord", F.struct(dt.page_date(F.col("effective_date"), F.col("updated"), F.col("created")).alias("date"),
+                                                   F.col("effective_date").alias("effective")).alias("dated"), "body")
+    # One way from the members to the result: they are read once, and rows that come dealt by their group stay where they lie.
+    turns = mk.with_numeric_facts(pages if is_dealt(pages) else spread(pages), "body", "_f").groupBy(*group, "ord").agg(
+        F.collect_list("dated").alias("dated"), F.flatten(F.collect_list("_f")).alias("_f"))
+    # A turn without facts is kept, with no key: it may be the first or the second of its group.
+    stated = turns.select(*group, "ord", "dated", F.explode_outer(mk.values_by_key(F.col("_f"))).alias("_k")).select(
+        *fact[:2], F.col("_k.key").alias("key"), F.col("_k.values").alias("new"), "ord", "dated")
+    sets = stated.groupBy(*fact, "new").agg(
+        F.min("ord").alias("ord"), F.min_by("dated", "ord").alias("dated"), F.min(F.when(F.col("ord") > 0, F.col("ord"))).alias("second"),
+        F.min(F.when(F.col("ord") == 0, F.array_min("dated"))).alias("base"))
+    # The lists of a set go with the first of its values only.
+    first = F.col("pos") == 0
+    values = sets.select(*fact, "ord", "second", "base", "new", "dated", F.posexplode_outer("new").alias("pos", "value")) \
+        .withColumn("new", F.when(first, F.col("new"))).withColumn("dated", F.when(first, F.col("dated")))
+    # Windows in an order in which the exchange of the first and the sort of the one before serve the next.
+    origin = F.asc_nulls_last("ord")
+    whole = W.partitionBy(*group).orderBy("key", "value", origin).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = W.partitionBy(*fact).orderBy("ord").rangeBetween(W.unboundedPreceding, -1)
+    fresh = F.when(F.row_number().over(W.partitionBy(*fact, "value").orderBy(origin)) == 1, F.col("value"))
     # The count says which rows contradict, so that a caller who wants no sentence pays for no lists.
-    fresh = (first.withColumn("old", F.collect_set("value").over(before)).withColumn("n_old", F.count("value").over(before))
-             .where("n_old > 0").groupBy(*fact, "ord").agg(F.first("old").alias("old")))
-    stated = facts.join(fresh, [*fact, "ord"]).groupBy(*fact, "ord").agg(
-        F.array_sort(F.first("old")).alias("old"), F.array_sort(F.collect_set("value")).alias("new"))
-    base = dated.groupBy(*group).agg(F.min(F.when(F.col("ord") > 0, F.col("ord"))).alias("second"),
-                                     F.min(F.when(F.col("ord") == 0, F.struct("date", "effective"))).alias("base"))
-    met = stated.join(dated.select(*group, "ord", "date"), [*group, "ord"]).join(base, group)
+    n_old = F.when(F.col("db").isNotNull() & F.col("canonical").isNotNull(), F.count("fresh").over(before))
+    met = (values.withColumn("second", F.min("second").over(whole)).withColumn("base", F.min("base").over(whole)).where("key is not null")
+           .withColumn("fresh", fresh).withColumn("old", F.collect_set("fresh").over(before)).withColumn("n_old", n_old)
+           .withColumn("n_new", F.count("fresh").over(W.partitionBy(*fact, "ord"))).where("pos = 0 and ord is not null and n_old > 0 and n_new > 0")
+           .select(*fact, "ord", "second", "base", "new", F.array_sort("old").alias("old"), F.explode("dated.date").alias("date")))
     known = F.when(F.col("ord") == F.col("second"), F.col("base.date")).otherwise(F.coalesce("base.effective", today))
     newer = dt.is_newer(F.col("date"), known)
     return met.select(*group, "ord", "key", newer.alias("newer"),

@@ -214,11 +214,13 @@ def merged_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _part_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every line item as a page of its part; ord by order and line."""
-    turn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")) - 1
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus"]
     name = lambda head, key: F.concat(F.lit(head), F.col(key).cast("string"))
-    return src.table(spark, sf, "lineitem").select(
-        F.lit("parts").alias("db"), name("part-", "l_partkey").alias("canonical"), turn.cast("long").alias("ord"),
+    # Dealt by the name of the page, as merging deals them, and made into pages afterwards.
+    lines = src.table(spark, sf, "lineitem").select(name("part-", "l_partkey").alias("canonical"), *order) \
+        .withColumn("turn", F.row_number().over(Window.partitionBy("canonical").orderBy(*order)) - 1)
+    return lines.select(
+        F.lit("parts").alias("db"), "canonical", F.col("turn").cast("long").alias("ord"),
         F.concat(F.lit("Shipped with weight "), F.col("l_quantity").cast("long"), F.lit(" kg by "), "l_linestatus", F.lit(", see tariff 7.")).alias("body"),
         F.array(name("supplier-", "l_suppkey"), F.lit(" all.md "), F.lit("")).alias("sources"),
         F.array(name("line ", "l_linenumber"), F.lower("l_returnflag")).alias("key_terms"),

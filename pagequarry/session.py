@@ -58,6 +58,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def is_dealt(df: DataFrame) -> bool:
+    """Whether rows go through an exchange; then to ask for the number of partitions, as :func:`spread` does, is to run it."""
+    return "- Exchange " in df._jdf.queryExecution().executedPlan().toString()
+
+
 def spread_read(df: DataFrame, *by: str) -> DataFrame:
     """:func:`spread` for rows as they are read, by the columns ``by``, also where few of many splits hold rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import markup as mk
 from pagequarry.operators import dense, lexical, resolve
-from pagequarry.plans import search_queries
+from pagequarry.plans import page_queries, search_queries
 from pagequarry.session import spread_read
 from pagequarry.sources.tables import KnowledgeStore
 
@@ -197,3 +197,40 @@ def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert spread_read(dealt, "i") is dealt
+
+
+def test_conflicts_move_line_items_once(spark, tmp_path):
+    lines = [(o, p, 3 + o % 3, 1, float(q), "A", "F", f"1995-0{o}-01 00:00:00") for p, qs in ((1, (5, 6, 5, 7)), (2, (5, 5)), (None, (1, 2)))
+             for o, q in enumerate(qs, 1)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, "
+                                 "l_linestatus string, day string").withColumn("l_shipdate", F.to_timestamp("day")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = page_queries.merged_conflicts(spark, str(tmp_path))
+    moved = [line for line in _plan(out).splitlines() if "Exchange " in line]
+    assert len(moved) == 1 and "hashpartitioning(canonical" in moved[0]
+    assert sorted((r.canonical, r.ord, r.sentence) for r in out.collect()) == [
+        ("part-1", 1, "weight: now 6 kg per the newer source; previously 5 kg"),
+        ("part-1", 3, "weight: sources disagree — 5 kg, 6 kg vs 7 kg (unresolved)")]
+
+
+def test_conflicts_of_pages_that_share_a_turn(spark):
+    rows = [("d", "a", 0, "no measure", "2020-02-01"), ("d", "a", 2, "weight 5 kg", "2020-01-01"), ("d", "a", None, "weight 9 kg", None),
+            ("d", "a", 4, "weight 6 kg and length 5 km", "2020-07-01"), ("d", "a", 4, "length 6 km", None), ("d", "a", 5, "weight 6 kg, length 6 km", None),
+            ("d", "a", 6, "length 5 km, weight 6 kg, length 7 km", None), (None, "a", 0, "weight 5 kg", None), (None, "a", 1, "weight 6 kg", None)]
+    members = spark.createDataFrame(rows, "db string, canonical string, ord int, body string, day string").select(
+        "db", "canonical", "ord", "body", F.col("day").cast("date").alias("effective_date"), F.lit(None).cast("date").alias("updated"), F.lit(None).cast("date").alias("created"))
+    found = {}
+    for n, dealt in enumerate((members, members.repartition(4, "db", "canonical"))):
+        out = resolve.merged_conflicts(dealt, F.lit("2020-06-01").cast("date"))
+        assert _plan(out).count("- Exchange ") == (3, 1)[n]
+        found[n] = sorted((r.ord, r.key, r.sentence) for r in out.collect())
+    disagree = "weight: sources disagree — 5 kg, 9 kg vs 6 kg (unresolved)"
+    assert found[0] == found[1] == [
+        (2, "weight|kg", "weight: sources disagree — 9 kg vs 5 kg (unresolved)"), (4, "weight|kg", "weight: now 6 kg per the newer source; previously 5 kg, 9 kg"),
+        (4, "weight|kg", disagree), (6, "length|km", "length: sources disagree — 5 km, 6 km vs 5 km, 7 km (unresolved)")]
+
+
+def test_values_are_told_by_key(spark):
+    facts = [[("b", "2"), ("a", "1"), ("b", "1"), ("b", "2"), (None, "3")], [], None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(facts)], "i int, f array<struct<key:string,value:string>>")
+    got = {r.i: r.v and [tuple(x) for x in r.v] for r in df.select("i", mk.values_by_key(F.col("f")).alias("v")).collect()}
+    assert got == {0: [(None, ["3"]), ("a", ["1"]), ("b", ["1", "2"])], 1: [], 2: None}
