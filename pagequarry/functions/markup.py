@@ -10,7 +10,7 @@ from pagequarry.functions import text as tx
 from pagequarry.functions.text import SPACE, WORD, find_all, strip
 from pagequarry.functions.words import key_terms, term_key
 
-_MARK = "\ufdd0"
+_MARK, _OTHER_MARK = "\ufdd0", "\ufdd1"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 KEY_FACTS = "## key facts"
 H2 = rf"(?md)^##[{SPACE}]+(.+?)[{SPACE}]*$"
@@ -268,7 +268,8 @@ def answer_list(answer: Column) -> Column:
 # --- numeric facts ----------------------------------------------------------------------------------
 
 _UNITS = "|".join(u for u in fv.FACT_UNITS if u != "%")
-_FACT = rf"(?iu)(\d+(?:[.,]\d+)?)[{SPACE}]*(%(?=[{WORD}])|(?:{_UNITS})(?![{WORD}]))"
+_NUMBER = r"\d+(?:[.,]\d+)?"
+_FACT = rf"(?iu){_NUMBER}[{SPACE}]*(?:%(?=[{WORD}])|(?:{_UNITS})(?![{WORD}]))"
 
 
 def with_numeric_facts(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -277,9 +278,11 @@ def with_numeric_facts(df: DataFrame, text: str, name: str) -> DataFrame:
     The last word is looked for in the 40 characters before a number: the text since the
     measure before it, and that measure.
     """
-    t = F.col(text)
-    staged = (df.withColumn("_all", find_all(t, _FACT, 0)).withColumn("_between", F.split(t, _FACT, -1))
-              .withColumn("_number", find_all(t, _FACT, 1)).withColumn("_unit", find_all(t, _FACT, 2)))
+    # A split by a pattern compiles it for every row, a split by a character does not; the text's own marks are put aside.
+    t = F.replace(F.col(text), F.lit(_MARK), F.lit(_OTHER_MARK))
+    staged = (df.withColumn("_all", find_all(t, _FACT, 0)).withColumn("_between", F.split(F.regexp_replace(t, _FACT, _MARK), _MARK, -1))
+              .withColumn("_number", F.transform("_all", lambda m: F.regexp_extract(m, rf"\A{_NUMBER}", 0)))
+              .withColumn("_unit", F.transform("_all", lambda m: F.regexp_replace(m, rf"\A{_NUMBER}[{SPACE}]*", ""))))
     before = F.transform("_number", lambda n, i: F.right(
         F.concat(F.coalesce(F.get(F.col("_all"), i - 1), F.lit("")), F.get(F.col("_between"), i)), F.lit(fv.FACT_CONTEXT_CHARS)))
     last_word = F.transform(before, lambda c: F.element_at(F.concat(F.array(F.lit("")), find_all(

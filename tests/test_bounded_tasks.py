@@ -234,3 +234,12 @@ def test_values_are_told_by_key(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(facts)], "i int, f array<struct<key:string,value:string>>")
     got = {r.i: r.v and [tuple(x) for x in r.v] for r in df.select("i", mk.values_by_key(F.col("f")).alias("v")).collect()}
     assert got == {0: [(None, ["3"]), ("a", ["1"]), ("b", ["1", "2"])], 1: [], 2: None}
+
+
+def test_measures_are_looked_for_twice(spark):
+    texts = ["Weight 5,5 KG, length\ufdd0 7 days\ufdd1 and 3%x", "12.5kg6km", "\ufdd0", "", None, "dose 3 µSv5 mm"]
+    out = mk.with_numeric_facts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string"), "body", "facts")
+    assert out.columns == ["i", "body", "facts"] and _plan(out).count("mSv") == 2
+    assert {r.i: r.facts and [tuple(f) for f in r.facts] for r in out.collect()} == {
+        0: [("weight|kg", "5.5 kg"), ("length|days", "7 days"), ("and|%", "3 %")], 1: [("kg|km", "6 km")], 2: [], 3: [], 4: None,
+        5: [("sv|mm", "5 mm")]}
