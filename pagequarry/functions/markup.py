@@ -308,7 +308,7 @@ def values_by_key(facts: Column) -> Column:
         return F.transform(starts, lambda at, n: F.struct(F.get(ordered, at)["key"].alias("key"), F.transform(F.slice(
             ordered, at + 1, F.coalesce(F.get(starts, n + 1), F.size(ordered)) - at), lambda f: f["value"]).alias("values")))
 
-    return tx.let(F.array_sort(facts), lambda facts: tx.let(distinct(facts), lambda ordered: tx.let(
+    return tx.let(F.sort_array(facts), lambda facts: tx.let(distinct(facts), lambda ordered: tx.let(
         run_starts(ordered), lambda starts: runs(ordered, starts))))
 
 

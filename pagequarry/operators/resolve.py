@@ -284,14 +284,15 @@ def merged_conflicts(members: DataFrame, today: Column) -> DataFrame:
     # Windows in an order in which the exchange of the first and the sort of the one before serve the next.
     origin = F.asc_nulls_last("ord")
     whole = W.partitionBy(*group).orderBy("key", "value", origin).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = W.partitionBy(*fact).orderBy("ord").rangeBetween(W.unboundedPreceding, -1)
+    turn = W.partitionBy(*fact).orderBy("ord")
+    before, by_then = turn.rangeBetween(W.unboundedPreceding, -1), turn.rangeBetween(W.unboundedPreceding, W.currentRow)
     fresh = F.when(F.row_number().over(W.partitionBy(*fact, "value").orderBy(origin)) == 1, F.col("value"))
     # The count says which rows contradict, so that a caller who wants no sentence pays for no lists.
     n_old = F.when(F.col("db").isNotNull() & F.col("canonical").isNotNull(), F.count("fresh").over(before))
     met = (values.withColumn("second", F.min("second").over(whole)).withColumn("base", F.min("base").over(whole)).where("key is not null")
            .withColumn("fresh", fresh).withColumn("old", F.collect_set("fresh").over(before)).withColumn("n_old", n_old)
-           .withColumn("n_new", F.count("fresh").over(W.partitionBy(*fact, "ord"))).where("pos = 0 and ord is not null and n_old > 0 and n_new > 0")
-           .select(*fact, "ord", "second", "base", "new", F.array_sort("old").alias("old"), F.explode("dated.date").alias("date")))
+           .withColumn("n", F.count("fresh").over(by_then)).where("pos = 0 and ord is not null and n_old > 0 and n > n_old")
+           .select(*fact, "ord", "second", "base", "new", F.sort_array("old").alias("old"), F.explode("dated.date").alias("date")))
     known = F.when(F.col("ord") == F.col("second"), F.col("base.date")).otherwise(F.coalesce("base.effective", today))
     newer = dt.is_newer(F.col("date"), known)
     return met.select(*group, "ord", "key", newer.alias("newer"),
